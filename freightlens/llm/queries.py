@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, mixing, sharding
+from . import chat, langid, matroska, mixing, ngram_join, sharding
 from .common import load
 
 
@@ -27,6 +27,11 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(stored, doc_id="key").select("doc_id.*", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ngram_join.join(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(load(spark, sf_dir, "documents").select("doc_id"))
 
@@ -45,6 +50,6 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(chat.conflict(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op5_lookup_sharding, op8_language_id, op10_chat_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op5_lookup_sharding, op8_language_id, op10_chat_round_trip)}
 
 ORACLES: dict[str, str] = {}
