@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, mixing, ngram_join, sharding
+from . import chat, langid, matroska, mixing, ngram_join, secrets, sharding
 from .common import load
 
 
@@ -36,6 +36,17 @@ def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(load(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secrets.RULES]
+
+    def n_of(kind: str) -> Column:
+        return F.size(F.filter("_spans", lambda s: s["kind"] == kinds.index(kind))).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("_spans", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select("doc_id", *map(n_of, secrets.BASE), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -50,6 +61,6 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(chat.conflict(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op5_lookup_sharding, op8_language_id, op10_chat_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op5_lookup_sharding, op6_secret_scan, op8_language_id, op10_chat_round_trip)}
 
 ORACLES: dict[str, str] = {}
