@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, mixing, ngram_join, secrets, sharding
+from . import chat, langid, matroska, mixing, neardup, ngram_join, secrets, sharding
 from .common import load
 
 
@@ -47,6 +47,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n_of, secrets.BASE), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("_spans")).alias("spans"))
 
 
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -61,6 +65,6 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(chat.conflict(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op5_lookup_sharding, op6_secret_scan, op8_language_id, op10_chat_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op10_chat_round_trip)}
 
 ORACLES: dict[str, str] = {}
