@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, mixing, neardup, ngram_join, secrets, sharding
+from . import chat, langid, matroska, mixing, neardup, ngram_join, pieces, secrets, sharding
 from .common import load
 
+#: A SentencePiece model with byte pieces; any other can be given.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def small_batches(spark: SparkSession) -> None:
     """Whole texts can be long, so few go to Python at once."""
@@ -32,6 +35,15 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_unigram_pieces(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    """Per document its ids, their number, and whether decoding gives its text back."""
+    small_batches(spark)
+    v = pieces.from_model(model)
+    coded = pieces.decode(pieces.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), v), v)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"), "token_ids")
+
+
 def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(load(spark, sf_dir, "documents").select("doc_id"))
 
@@ -65,6 +77,6 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(chat.conflict(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op10_chat_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op10_chat_round_trip)}
 
 ORACLES: dict[str, str] = {}
