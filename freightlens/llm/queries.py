@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, mixing, neardup, ngram_join, pieces, secrets, sharding
+from . import chat, extraction, langid, matroska, mixing, neardup, ngram_join, pieces, secrets, sharding
 from .common import load
 
 #: A SentencePiece model with byte pieces; any other can be given.
@@ -71,12 +71,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    trees = extraction.fit(spark)
+    out = extraction.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"), trees)
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_chats(rows.unionByName(chat.conflict(spark))))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op10_chat_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op9_main_text, op10_chat_round_trip)}
 
 ORACLES: dict[str, str] = {}
