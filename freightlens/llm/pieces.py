@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: What an uncovered character costs beyond the worst piece.
@@ -242,7 +243,7 @@ def encode(docs: DataFrame, v: Vocabulary, *, text: str = "text", out: str = "to
             column = pa.ListArray.from_arrays(off.astype(np.int32), ids)
             yield pa.RecordBatch.from_arrays([*b.columns, column], names=names)
 
-    return docs.mapInArrow(run, docs.schema.add(out, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, v: Vocabulary, *, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -258,4 +259,4 @@ def decode(rows: DataFrame, v: Vocabulary, *, ids: str = "token_ids", out: str =
             got = decode_ids(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lens))), given.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=names)
 
-    return rows.mapInArrow(run, rows.schema.add(out, "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
