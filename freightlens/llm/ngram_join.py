@@ -8,7 +8,9 @@
 3. Hubs are verified with their members first; that joins most copies into components.
 4. In each group a prefix tree over the members' ordered lists finds the pairs of different components
    that may still link (`trie.candidates`); large groups are split in blocks, met pairwise by tasks.
-5. Candidates are verified on the whole texts, and links give the components.
+   What leaves a task is not the pairs but the members that have one.
+5. These members' whole texts are sent to the same tasks, which walk the tree again and verify each pair
+   whose ends are still apart. A task writes fewer links than it has members.
 
 Pairs inside a component already found are not compared again: they cannot change it.
 """
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from .shingles import HEAT_BITS, mix, ordered, shingles
 
 #: Members of a group that one task compares with as many others.
 BLOCK = 1024
+#: Pairs of members that a task looks at together.
+PAIRS = 4_000_000
 #: Bits of the map that keeps texts no candidate needs out of the shuffle; a full map only stops saving.
 MAP_BITS = 1 << 22
 
@@ -60,10 +65,9 @@ def _heat(docs: DataFrame, width: int) -> np.ndarray:
     return np.where(total > limit, np.minimum(7, 1 + np.log2(np.maximum(total, 1) / limit)), 0).astype(np.uint64)
 
 
-def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets(rows: DataFrame, heat: Broadcast, width: int, percent: int) -> DataFrame:
     """rows: doc_id, rk, text. Per row: doc_id, rk, n (set size), node (from the whole set; null without
     words), first (the first tokens in order)."""
-    heat = rows.sparkSession.sparkContext.broadcast(_heat(rows.select("text"), width))
     schema = pa.schema([("rk", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("first", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +108,16 @@ def with_keys(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame,
     return keep(True), keep(False)
 
 
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text for each node of `wanted`."""
+    need = materialize(wanted.distinct().join(nodes.select("node", "rk"), "node"))
+    found, _ = with_keys(docs.select("rk", "text"), need, "rk")
+    return materialize(found.join(need, "rk").groupBy("node").agg(F.first("text").alias("text")))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts reach the threshold."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rk"), "node")
-    need = materialize(need)
-    found, _ = with_keys(docs.select("rk", "text"), need, "rk")
-    texts = materialize(found.join(need, "rk").groupBy("node").agg(F.first("text").alias("text")))
+    texts = _texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, nodes)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,25 +138,97 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """members: hub, node, n, plen, last, comp, list (of token and place). Pairs (a, b) to verify."""
+def _walk(cell: np.ndarray, size: np.ndarray, plen: np.ndarray, last: np.ndarray, comp: np.ndarray, lists: list, places: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of a run of cells, some cells at a time so that their pairs fit in memory."""
+    edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
+    at = 0
+    while at < len(edges) - 1:
+        to, pairs = at, 0
+        while to < len(edges) - 1 and (to == at or pairs + (edges[to + 1] - edges[to]) ** 2 <= PAIRS):
+            pairs += (edges[to + 1] - edges[to]) ** 2
+            to += 1
+        lo, hi = edges[at], edges[to]
+        i, j = trie.candidates(cell[lo:hi], size[lo:hi], plen[lo:hi], last[lo:hi], comp[lo:hi], lists[lo:hi], places[lo:hi], percent)
+        yield i + lo, j + lo
+        at = to
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by `cell`, put together to tables of whole cells with about `rows` rows or more."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            cells = b.column("cell").to_numpy()
+            cut = np.flatnonzero(cells[1:] != cells[:-1])
+            if len(cut):
+                cut = int(cut[-1]) + 1
+                yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)]).combine_chunks()
+                held, n = [b.slice(cut)], b.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _near(members: DataFrame, percent: int) -> DataFrame:
+    """members: cell, node, n, plen, last, comp, list (of token and place), by cell. The (cell, node)
+    that have a candidate in their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        col = {c: t.column(c).to_numpy() for c in ("cell", "node", "n", "plen", "last", "comp")}
-        lists = t.column("list").combine_chunks()
-        off = lists.offsets.to_numpy()
-        flat = lists.values
-        token, place = flat.field("token").to_numpy(), flat.field("place").to_numpy().astype(np.int64)
-        cut = [slice(a, b) for a, b in zip(off[:-1], off[1:])]
-        i, j = trie.candidates(col["cell"], col["n"], col["plen"], col["last"], col["comp"], [token[s] for s in cut], [place[s] for s in cut], percent)
-        a, b = col["node"][i], col["node"][j]
-        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return members.mapInArrow(run, "a long, b long").distinct()
+        for t in _whole_cells(batches, 4096):
+            col = {c: t.column(c).to_numpy() for c in ("cell", "node", "n", "plen", "last", "comp")}
+            lists = t.column("list").combine_chunks()
+            off, flat = lists.offsets.to_numpy(), lists.values
+            token, place = flat.field("token").to_numpy(), flat.field("place").to_numpy().astype(np.int64)
+            cut = [slice(a, b) for a, b in zip(off[:-1], off[1:])]
+            hit = np.zeros(t.num_rows, bool)
+            for i, j in _walk(*(col[c] for c in ("cell", "n", "plen", "last", "comp")), [token[s] for s in cut], [place[s] for s in cut], percent):
+                hit[i] = hit[j] = True
+            yield pa.RecordBatch.from_pydict({"cell": col["cell"][hit], "node": col["node"][hit]})
+
+    return members.select("cell", "node", "n", "plen", "last", "comp", "list").mapInArrow(run, "cell long, node long")
+
+
+def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> DataFrame:
+    """members: cell, node, comp, text, by cell. Links (a, b) enough to join what links within the cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_cells(batches, 512):
+            cell, node, comp = (t.column(c).to_numpy() for c in ("cell", "node", "comp"))
+            whole = [ordered(g, heat.value).astype(np.int64) for _, g in shingles(t.column("text").to_pylist(), width)]
+            size = np.array([len(w) for w in whole], np.int64)
+            plen = size + percent * -size // 100 + 1
+            known = [w[:k] for w, k in zip(whole, plen)]
+            found, back, times = np.unique(np.concatenate(known), return_inverse=True, return_counts=True)
+            place = np.concatenate([np.arange(k) for k in plen])
+            twice = np.split(times[back] > 1, np.cumsum(plen)[:-1])
+            spots = np.split(place, np.cumsum(plen)[:-1])
+            lists, spots = [k[m] for k, m in zip(known, twice)], [x[m] for x, m in zip(spots, twice)]
+            last = np.array([k[-1] for k in known])
+            out = []
+            for i, j in _walk(cell, size, plen, last, comp, lists, spots, percent):
+                up: dict[tuple, tuple] = {}
+
+                def root(x: tuple) -> tuple:
+                    while x in up:
+                        if up[x] in up:
+                            up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                for x, y in zip(i.tolist(), j.tolist()):
+                    a, b = root((cell[x], comp[x])), root((cell[y], comp[y]))
+                    if a != b:
+                        inter = len(np.intersect1d(whole[x], whole[y], assume_unique=True))
+                        if 100 * inter >= percent * (size[x] + size[y] - inter):
+                            up[a] = b
+                            out.append((node[x], node[y]))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return members.select("cell", "node", "comp", "text").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -165,7 +245,8 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
-    sets = materialize(_sets(rows, width, percent))
+    heat = spark.sparkContext.broadcast(_heat(rows.select("text"), width))
+    sets = materialize(_sets(rows, heat, width, percent))
     known = sets.filter("node is not null")
     nodes = materialize(known.groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first(F.size("first")).alias("plen"), F.first(F.element_at("first", -1)).alias("last")))
     filed = known.select("node", F.posexplode("first").alias("place", "token"))
@@ -187,9 +268,13 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     cells = cells.select("node", "comp", F.xxhash64("hub", F.least("_b", "_j"), F.greatest("_b", "_j")).alias("cell"))
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("list"))
     lists = materialize(lists.join(nodes.select("node", "n", "plen", "last"), "node"))
-    tasks = cells.join(lists, "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
+    cells = materialize(cells)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    close = materialize(_near(cells.join(lists, "node").repartition(parts, "cell").sortWithinPartitions("cell"), percent))
+    # Of a cell's members only those with a candidate there are compared by their whole texts.
+    again = cells.join(close, ["cell", "node"]).join(_texts(close.select("node"), rows, nodes), "node")
     links = first_links
-    more = materialize(_verified(materialize(_tree_pairs(tasks, percent)), rows, nodes, width, percent))
+    more = materialize(_linked(again.repartition(parts, "cell").sortWithinPartitions("cell"), heat, width, percent))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
@@ -198,3 +283,22 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     of_node = named.join(least, "root").select("node", "component_id")
     out = sets.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
     return out.select("doc_id", "rk", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group that links join: the one of the least doc_id (null last), and one
+    of equal rows. Rows without words stay. Which rows go is told from ids and hashes, and only texts
+    that may go are shuffled."""
+    found = materialize(join(docs, doc_id=doc_id, text=text, width=width, percent=percent))
+    worded = found.filter("n_shingles > 0")
+    # Groups that have only null ids have no component id: they are told apart by their rows' hash.
+    first = worded.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rk").alias("_keep"))
+    extra = worded.groupBy("rk").agg(F.count("*").alias("_n"), F.min("component_id").alias("component_id"))
+    judged = extra.join(first, "component_id", "left").withColumn("_one", F.coalesce(F.col("rk") == F.col("_keep"), F.col("component_id").isNull()))
+    judged = materialize(judged.filter("_n > 1 or not _one").select(F.col("rk").alias("_rk"), "_one"))
+    columns = docs.columns
+    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), row_key(doc_id, text).alias("_rk"))
+    maybe, sure = with_keys(rows, judged, "_rk")
+    again = maybe.join(judged, "_rk", "left")
+    single = again.filter("_one").groupBy("_rk").agg(F.first("_row").alias("_row"))
+    return sure.select("_row.*").unionByName(again.filter("_one is null").select("_row.*")).unionByName(single.select("_row.*"))
