@@ -6,7 +6,7 @@
    of its first tokens that another set has too. A token's hub is its least node, and all sets filed
    under a token are in the group of that hub.
 3. Hubs are verified with their members first; that joins most copies into components.
-4. In each group a prefix tree over the members' ordered lists finds the pairs of different components
+4. In each group and range of sizes a prefix tree over the members' ordered lists finds the pairs of different components
    that may still link (`trie.candidates`); large groups are split in blocks, met pairwise by tasks.
    What leaves a task is not the pairs but the members that have one.
 5. These members' whole texts are sent to the same tasks, which walk the tree again and verify each pair
@@ -17,6 +17,7 @@ Pairs inside a component already found are not compared again: they cannot chang
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -259,13 +260,17 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     first_links = materialize(_verified(near, rows, nodes, width, percent))
     roots = components(first_links)
     comp = F.coalesce("root", "node")
-    members = materialize(group.join(roots, "node", "left").select("hub", "node", comp.alias("comp")))
-    # Groups within one component are done; the others are split in blocks that meet pairwise.
-    open_hubs = members.groupBy("hub").agg(F.count("*").alias("_k"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi")
-    n_blocks = F.ceil(F.col("_k") / BLOCK).cast("int")
-    cells = members.join(open_hubs.select("hub", n_blocks.alias("_nb")), "hub").withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
-    cells = cells.select("node", "comp", "hub", "_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_j"))
-    cells = cells.select("node", "comp", F.xxhash64("hub", F.least("_b", "_j"), F.greatest("_b", "_j")).alias("cell"))
+    # Sizes that can match are of the same bucket or of neighbours: cell (hub, k) has buckets k - 1 and k.
+    bucket = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    members = group.join(size, "node").join(roots, "node", "left").select("hub", "node", comp.alias("comp"), bucket.alias("_own"))
+    members = materialize(members.select("*", F.explode(F.array("_own", F.col("_own") + 1)).alias("_k")))
+    # Cells within one component, or without a member of their own bucket, are done; large ones are split
+    # in blocks that meet pairwise.
+    found = members.groupBy("hub", "_k").agg(F.count("*").alias("_m"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("_own").alias("_top"))
+    found = found.filter("_lo < _hi and _top = _k").select("hub", "_k", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_nb"))
+    cells = members.join(found, ["hub", "_k"]).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
+    cells = cells.select("node", "comp", "hub", "_k", "_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_j"))
+    cells = cells.select("node", "comp", F.xxhash64("hub", "_k", F.least("_b", "_j"), F.greatest("_b", "_j")).alias("cell"))
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("list"))
     lists = materialize(lists.join(nodes.select("node", "n", "plen", "last"), "node"))
     cells = materialize(cells)

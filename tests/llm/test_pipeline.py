@@ -1,0 +1,59 @@
+"""The stages on a small corpus against plain Python, and queries against their SQL."""
+
+import re
+
+import pytest
+from test_ngram_join import brute
+
+import corpus_pipeline
+from freightlens.llm import secrets
+from freightlens.llm.queries import ORACLES
+
+EN = "the {} and the {} of it was in that house with her for the {} they had been to {}"
+DE = "der {} und die {} von dem haus in das er mit ihr für den {} nicht auf die {} kam"
+
+
+def corpus():
+    rows, k = [], 0
+    for i in range(40):
+        for lang, form in (("en", EN), ("de", DE)):
+            words = [f"{lang}{i}x{j}" for j in range(4)]
+            rows.append((k, " ".join([form.format(*words)] * 1 + words * 3), lang, f"s{i % 3}", 0))
+            k += 1
+    long = " ".join(f"word{i}" for i in range(200))
+    rows += [(k, long, "en", "s0", 0), (k + 1, long.replace("word7 ", "other "), "en", "s1", 0), (k + 2, long, "en", None, 0)]
+    rows += [(k + 3, "1234 5678", "en", "s0", 0), (k + 4, None, None, "s0", 0), (k + 5, "the secret password = hunter22 is in the house and that was it", "en", "s2", 0)]
+    return [(d, t, g, s, len(t or "")) for d, t, g, s, _ in rows]
+
+
+def test_stages(spark):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(corpus(), columns)
+    seen = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        seen.append(stage(spark, seen[-1], "").persist())
+        if k < 4:
+            assert seen[-1].columns == docs.columns
+    rows = [[tuple(r) for r in df.collect()] for df in seen]
+    gone = {r[0] for r in rows[0]} - {r[0] for r in rows[1]}
+    assert gone == {r[0] for r in rows[0] if not re.search(r"[^\W\d_]", r[1] or "")}
+    want, _ = brute([(r[0], r[1]) for r in rows[1]], 5, 80)
+    assert sorted(r[0] for r in rows[2]) == sorted(d for d, _, c in want if d == c)
+    for r in rows[3]:
+        assert not any(re.search(x.pattern, r[1]) for x in secrets.RULES[:3]) and r[4] == len(r[1])
+    assert sum("[SECRET]" in r[1] for r in rows[3]) == 1
+    words = lambda rs: sum(len(r[1].split()) for r in rs)
+    assert abs(words(rows[4]) - words(rows[3])) < 600 and {r[0] for r in rows[4]} <= {r[0] for r in rows[3]}
+    assert len(rows[5]) == len(rows[4]) and all(r[3] == len(r[4]) > 0 for r in rows[5])
+
+
+def test_run(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and out.count() > 100
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    from test_oracle import check
+
+    check(spark, name)
