@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
 from pyspark.ml.feature import VectorAssembler
@@ -88,6 +89,31 @@ def fit(train: DataFrame, kind: str, seed: int = 7) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), last]).fit(train)
 
 
+def fit_or_load(path: str, train: DataFrame, kind: str, seed: int = 7, again: bool = False) -> PipelineModel:
+    """The model kept at `path`, fitted and kept first if there is none or `again` is asked for."""
+    if not again:
+        try:
+            return PipelineModel.load(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    model = fit(train, kind, seed)
+    model.write().overwrite().save(path)
+    return model
+
+
+def dump(df: DataFrame, path: str) -> None:
+    """Features and labels as CSV folders `x` and `y`, rows in order of uid."""
+    rows = df.orderBy("uid")
+    rows.select(*features_of(df)).write.mode("overwrite").csv(f"{path}/x")
+    rows.select("label").write.mode("overwrite").csv(f"{path}/y")
+
+
+def pages_of(n: int, size: int) -> dict[str, int]:
+    """Number of pages of `size` rows in each part of n rows."""
+    return {part: -(-(n * (hi - lo)) // (100 * size)) for part, (lo, hi) in SPLITS.items()}
+
+
 def confusion(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 

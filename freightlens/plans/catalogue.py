@@ -419,7 +419,10 @@ ORACLES = {
     "lag_ratio": _with(_SERIES, f"SELECT facility, year_quarter, {_LAG_SUM} AS lag_qty_sum, round(qty_tons / nullif(({_LAG_SUM}) / 4, 0), 6) AS ratio FROM series"),
     "label_classes": _with(_SERIES, "SELECT CASE WHEN next_qty_tons IS NULL THEN NULL WHEN (next_qty_tons - qty_tons) / qty_tons >= 0.05 THEN 'increase' WHEN (next_qty_tons - qty_tons) / qty_tons <= -0.05 THEN 'decrease' ELSE 'same' END AS target_class, count(*) AS n FROM series GROUP BY 1"),
     "upsert_nodes": _with(_NODES, _UPSERT, "SELECT coalesce(o.node_type, n.node_type) AS node_type, coalesce(o.business_id, n.business_id) AS business_id, coalesce(upper(n.business_name), o.business_name) AS business_name, CASE WHEN o.node_type IS NULL THEN '??' ELSE o.state_code END AS state_code FROM old o FULL JOIN nodes n ON o.node_type = n.node_type AND o.business_id = n.business_id"),
-    "key_checks": "SELECT * FROM (VALUES ('duplicate_nodes', CAST(0 AS BIGINT)), ('duplicate_edges', 0), ('orphan_generators', 0)) t(\"check\", bad)",
+    "key_checks": _with(_PER, _NODES, f"gf AS ({_year_sql('GF')})", """
+  SELECT 'duplicate_nodes' AS "check", count(*) AS bad FROM (SELECT 1 FROM nodes GROUP BY node_type, business_id HAVING count(*) > 1)
+  UNION ALL SELECT 'duplicate_edges', count(*) FROM (SELECT 1 FROM gf GROUP BY year, generator, facility HAVING count(*) > 1)
+  UNION ALL SELECT 'orphan_generators', count(*) FROM gf WHERE NOT EXISTS (SELECT 1 FROM nodes WHERE node_type = 'GENERATOR' AND business_id = generator)"""),
     "split_counts": _with(_SIMPLE, "SELECT CASE WHEN uid % 100 < 70 THEN 'train' WHEN uid % 100 < 85 THEN 'validation' ELSE 'test' END AS part, count(*) AS n, min(uid) AS first_uid FROM simple GROUP BY 1"),
     "page_by_uid": _with(_SIMPLE, "SELECT uid, facility, waste_code, year_quarter FROM simple ORDER BY uid LIMIT 100 OFFSET 200"),
     "category_levels": _with(_BASE, "SELECT DISTINCT 'form_code' AS category, form_code AS level FROM base_lines UNION ALL SELECT DISTINCT 'source_code', source_code FROM base_lines"),

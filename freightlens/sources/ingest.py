@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, fields
 from pathlib import Path
 
@@ -65,6 +65,28 @@ def tables_query(schema: str) -> str:
     return f"SELECT TABLE_NAME FROM INFORMATION_SCHEMA.TABLES WHERE TABLE_TYPE = 'BASE TABLE' AND TABLE_SCHEMA = '{schema}' ORDER BY TABLE_NAME"
 
 
+def count_query(schema: str, table: str) -> str:
+    """The source's own estimate of a table's rows, from its catalog and without a scan."""
+    return f"SELECT SUM(p.rows) AS n FROM sys.partitions p JOIN sys.objects o ON o.object_id = p.object_id JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE s.name = '{schema}' AND o.name = '{table}' AND p.index_id IN (0, 1)"
+
+
+def query_reader(spark: SparkSession, s: Settings, query: str) -> DataFrameReader:
+    return spark.read.format("jdbc").option("url", s.url).option("query", query)
+
+
+def struct_of(columns: Iterable[Mapping]) -> T.StructType:
+    """The schema that the rows of columns_query describe."""
+    return T.StructType([T.StructField(c["COLUMN_NAME"], map_type(c["DATA_TYPE"], c["NUMERIC_PRECISION"], c["NUMERIC_SCALE"]), c["IS_NULLABLE"] == "YES") for c in columns])
+
+
+def materialized(df: DataFrame, path: str, name: str) -> DataFrame:
+    """df written in place of what `path` held, and registered as the view `name`."""
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.createOrReplaceTempView(name)
+    return out
+
+
 def land(df: DataFrame, path: str, truncate: bool = True) -> None:
     df.write.mode("overwrite" if truncate else "append").parquet(path)
 
