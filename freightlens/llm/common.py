@@ -26,17 +26,37 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's setting by which the shuffle files of a finished query go at once, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: a lost executor re-reads it, and later
-    steps do not compute it again. The folder goes when the application ends."""
+    steps do not compute it again. Its own shuffle files are not needed then and go at once. The folder
+    goes with `discard`, or when the application ends."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` wrote and that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if jpath.getName().startswith("step-"):
+                jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in (0, 1) with 52 random bits that depends on seed and key alone."""
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trie
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 from .shingles import HEAT_BITS, mix, ordered, shingles
 
@@ -44,26 +44,31 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def _heat(docs: DataFrame, width: int) -> np.ndarray:
-    """Level 0 to 7 of each of 2**HEAT_BITS cells of shingle hashes, from counts over all documents."""
+    """Level 0 to 7 of each of 2**HEAT_BITS cells of shingle hashes, from counts over all documents. A
+    task leaves out the cells that it saw six times at most, or twice as often as its mean cell: a shingle
+    common enough to have a level is above that in some tasks. Levels only set the order of tokens, so they
+    decide how much is compared and never what links."""
     cells = 1 << HEAT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, seen = np.zeros(cells, np.int64), 0
         for b in batches:
             for _, g in shingles(b.column(0).to_pylist(), width):
-                if len(g) < 256:
-                    np.add.at(total, (g >> np.uint64(64 - HEAT_BITS)).astype(np.int64), 1)
-                else:
-                    c, n = np.unique(g >> np.uint64(64 - HEAT_BITS), return_counts=True)
-                    total[c.astype(np.int64)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": at.astype(np.int32), "n": total[at]})
+                at = (g >> np.uint64(64 - HEAT_BITS)).astype(np.int64)
+                if len(at) >= 256:  # within a text a shingle counts once, near enough
+                    at = np.unique(at)
+                np.add.at(total, at, 1)
+                seen += len(at)
+        at = np.flatnonzero(total > max(6, 2 * seen / cells))
+        yield pa.RecordBatch.from_pydict({"cell": np.append(at, -1).astype(np.int32), "n": np.append(total[at], seen)})
 
     sums = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(cells, np.int64)
-    total[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    limit = max(32.0, 4 * total.mean())
-    return np.where(total > limit, np.minimum(7, 1 + np.log2(np.maximum(total, 1) / limit)), 0).astype(np.uint64)
+    cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
+    limit = max(8.0, 2 * n[cell < 0].sum() / cells)
+    heat = np.zeros(cells, np.uint8)
+    hot = (cell >= 0) & (n > limit)
+    heat[cell[hot]] = np.minimum(7, 1 + np.log2(n[hot] / limit)).astype(np.uint8)
+    return heat
 
 
 def _sets(rows: DataFrame, heat: Broadcast, width: int, percent: int) -> DataFrame:
@@ -113,12 +118,45 @@ def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text for each node of `wanted`."""
     need = materialize(wanted.distinct().join(nodes.select("node", "rk"), "node"))
     found, _ = with_keys(docs.select("rk", "text"), need, "rk")
-    return materialize(found.join(need, "rk").groupBy("node").agg(F.first("text").alias("text")))
+    once = found.groupBy("rk").agg(F.first("text").alias("text"))
+    out = materialize(once.join(need.hint("shuffle_hash"), "rk").select("node", "text"))
+    discard(need)
+    return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+def _hopeful(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their known tokens do not rule out: up to the lesser of their last known
+    tokens, what one set has and the other lacks must stay within what the threshold allows."""
+    side = lambda x: lists.select(*[F.col(c).alias(f"{c}_{x}") for c in lists.columns]).withColumnRenamed(f"node_{x}", x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n, plen, last = ([t.column(f"{c}_{x}").to_numpy() for x in "ab"] for c in ("n", "plen", "last"))
+            off, token, place = ([], [], [])
+            for x in "ab":
+                tokens, places = t.column(f"tokens_{x}"), t.column(f"places_{x}")
+                off.append(tokens.offsets.to_numpy())
+                token.append(tokens.values.to_numpy())
+                place.append(places.values.to_numpy())
+            allowed = trie.slack(n[0] + n[1], percent)
+            keep = np.zeros(t.num_rows, bool)
+            for k in range(t.num_rows):
+                lo, hi = zip(*[(o[k], o[k + 1]) for o in off])
+                mine = [token[s][lo[s] : hi[s]] for s in (0, 1)]
+                cut = min(last[0][k], last[1][k])
+                below = []
+                for s in (0, 1):
+                    q = int(np.searchsorted(mine[s], cut, "right"))
+                    below.append(plen[s][k] if last[s][k] == cut else place[s][lo[s] + q - 1] + 1 if q else 0)
+                keep[k] = below[0] + below[1] - 2 * len(np.intersect1d(*mine, assume_unique=True)) <= allowed[k]
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts reach the threshold."""
-    texts = _texts(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, nodes)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,22 +212,22 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Ta
 
 
 def _near(members: DataFrame, percent: int) -> DataFrame:
-    """members: cell, node, n, plen, last, comp, list (of token and place), by cell. The (cell, node)
+    """members: cell, node, n, plen, last, comp, tokens and their places, by cell. The (cell, node)
     that have a candidate in their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_cells(batches, 4096):
             col = {c: t.column(c).to_numpy() for c in ("cell", "node", "n", "plen", "last", "comp")}
-            lists = t.column("list").combine_chunks()
-            off, flat = lists.offsets.to_numpy(), lists.values
-            token, place = flat.field("token").to_numpy(), flat.field("place").to_numpy().astype(np.int64)
+            tokens, places = (t.column(c).combine_chunks() for c in ("tokens", "places"))
+            off = tokens.offsets.to_numpy()
+            token, place = tokens.values.to_numpy(), places.values.to_numpy().astype(np.int64)
             cut = [slice(a, b) for a, b in zip(off[:-1], off[1:])]
             hit = np.zeros(t.num_rows, bool)
             for i, j in _walk(*(col[c] for c in ("cell", "n", "plen", "last", "comp")), [token[s] for s in cut], [place[s] for s in cut], percent):
                 hit[i] = hit[j] = True
             yield pa.RecordBatch.from_pydict({"cell": col["cell"][hit], "node": col["node"][hit]})
 
-    return members.select("cell", "node", "n", "plen", "last", "comp", "list").mapInArrow(run, "cell long, node long")
+    return members.select("cell", "node", "n", "plen", "last", "comp", "tokens", "places").mapInArrow(run, "cell long, node long")
 
 
 def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> DataFrame:
@@ -249,15 +287,26 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     heat = spark.sparkContext.broadcast(_heat(rows.select("text"), width))
     sets = materialize(_sets(rows, heat, width, percent))
     known = sets.filter("node is not null")
+    # Two sets that link share a token within the least of each, and within the fewer least tokens of the
+    # smaller that a partner of its own size would ask for (its index part).
+    index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
     nodes = materialize(known.groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first(F.size("first")).alias("plen"), F.first(F.element_at("first", -1)).alias("last")))
-    filed = known.select("node", F.posexplode("first").alias("place", "token"))
-    hubs = filed.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("_most")).filter("hub < _most").select("token", "hub")
-    shared = materialize(filed.join(hubs.hint("shuffle_hash"), "token").select("token", "node", "place", "hub").distinct())
+    filed = known.select("node", index.alias("_index"), F.posexplode("first").alias("place", "token"))
+    hub = F.min(F.when(F.col("place") < F.col("_index"), F.col("node"))).alias("hub")
+    hubs = materialize(filed.groupBy("token").agg(hub, F.min("node").alias("_least"), F.max("node").alias("_most")).filter("_least < _most").select("token", "hub"))
+    shared = materialize(filed.drop("_index").join(hubs.hint("shuffle_hash"), "token").select("token", "node", "place", "hub").distinct())
     size = nodes.select(F.col("node"), F.col("n"))
-    group = materialize(shared.select("hub", "node").distinct())
+    group = materialize(shared.filter("hub is not null").select("hub", "node").distinct())
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("_l"))
+    lists = lists.select("node", F.col("_l.token").alias("tokens"), F.col("_l.place").alias("places"))
+    lists = materialize(lists.join(nodes.select("node", "n", "plen", "last"), "node"))
+    discard(hubs, shared)
     near = group.filter("hub <> node").join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("_hn")), "hub")
     near = near.filter(F.lit(100) * F.least("n", "_hn") >= F.lit(percent) * F.greatest("n", "_hn")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    first_links = materialize(_verified(near, rows, nodes, width, percent))
+    near = materialize(_hopeful(near, lists, percent))
+    texts = _texts(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), rows, nodes)
+    first_links = materialize(_verified(near, texts, width, percent))
+    discard(near, texts)
     roots = components(first_links)
     comp = F.coalesce("root", "node")
     # Sizes that can match are of the same bucket or of neighbours: cell (hub, k) has buckets k - 1 and k.
@@ -271,15 +320,17 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     cells = members.join(found, ["hub", "_k"]).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     cells = cells.select("node", "comp", "hub", "_k", "_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_j"))
     cells = cells.select("node", "comp", F.xxhash64("hub", "_k", F.least("_b", "_j"), F.greatest("_b", "_j")).alias("cell"))
-    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("list"))
-    lists = materialize(lists.join(nodes.select("node", "n", "plen", "last"), "node"))
     cells = materialize(cells)
+    discard(members, group)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     close = materialize(_near(cells.join(lists, "node").repartition(parts, "cell").sortWithinPartitions("cell"), percent))
     # Of a cell's members only those with a candidate there are compared by their whole texts.
-    again = cells.join(close, ["cell", "node"]).join(_texts(close.select("node"), rows, nodes), "node")
+    discard(lists)
+    texts = _texts(close.select("node"), rows, nodes)
+    again = cells.join(close, ["cell", "node"]).join(texts, "node")
     links = first_links
     more = materialize(_linked(again.repartition(parts, "cell").sortWithinPartitions("cell"), heat, width, percent))
+    discard(cells, close, texts)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)

@@ -18,7 +18,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text handled at once, but for a longer single text.
 _CHUNK = 1 << 22
 
-HEAT_BITS = 18
+HEAT_BITS = 22
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,7 +92,7 @@ def ordered(grams: np.ndarray, heat: np.ndarray | None) -> np.ndarray:
     the upper 60 bits of the hash, so it also stands for the shingle."""
     key = grams >> _U(4)
     if heat is not None:
-        key = key | heat[(grams >> _U(64 - HEAT_BITS)).astype(np.int64)] << _U(60)
+        key = key | heat[(grams >> _U(64 - HEAT_BITS)).astype(np.int64)].astype(np.uint64) << _U(60)
     key = np.sort(key)
     keep = np.ones(len(key), bool)
     keep[1:] = key[1:] != key[:-1]
