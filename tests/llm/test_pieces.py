@@ -13,7 +13,8 @@ def toy(seed=0):
     rng = random.Random(seed)
     names = ["<unk>", *[f"<0x{b:02X}>" for b in range(256)]]
     names += sorted({("▁" * rng.randint(0, 2)) + "".join(rng.choice("abcdé漢") for _ in range(rng.randint(1, 4))) for _ in range(120)} | {"▁", "▁▁▁", "a", "b"})
-    return pieces.vocabulary(names, [0.0] * 257 + [-rng.random() * 9 for _ in names[257:]], list(range(1, 257)), {0})
+    # Multiples of 1/1024: sums are exact, so equal cuts tie however they are added up.
+    return pieces.vocabulary(names, [0.0] * 257 + [-rng.randrange(9 * 1024) / 1024 for _ in names[257:]], list(range(1, 257)), {0})
 
 
 def plain(v, text):
