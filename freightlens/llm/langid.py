@@ -24,7 +24,7 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Characters handled at once; a longer text is handled in parts that overlap, so nothing is left out.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,7 +39,7 @@ def _codes(text: str) -> np.ndarray:
     c = np.where(plain, np.uint32(32), c)
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
-    return c[keep].astype(np.uint64)
+    return c[keep]
 
 
 def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
@@ -47,6 +47,7 @@ def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
     n = len(codes) - order + 1
     if n <= 0:
         return np.empty(0, np.int32)
+    codes = codes.astype(np.uint64)
     h = np.full(n, order, np.uint64)
     for k in range(order):
         h = (h ^ codes[k : k + n]) * _MIX

@@ -34,7 +34,7 @@ from .shingles import HEAT_BITS, mix, ordered, shingles
 #: Members of a group that one task compares with as many others.
 BLOCK = 1024
 #: Pairs of members that a task looks at together.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
 #: Bits of the map that keeps texts no candidate needs out of the shuffle; a full map only stops saving.
 MAP_BITS = 1 << 22
 
@@ -51,7 +51,7 @@ def _heat(docs: DataFrame, width: int) -> np.ndarray:
     cells = 1 << HEAT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(cells, np.int64), 0
+        total, seen = np.zeros(cells, np.int32), 0
         for b in batches:
             for _, g in shingles(b.column(0).to_pylist(), width):
                 at = (g >> np.uint64(64 - HEAT_BITS)).astype(np.int64)
@@ -60,7 +60,7 @@ def _heat(docs: DataFrame, width: int) -> np.ndarray:
                 np.add.at(total, at, 1)
                 seen += len(at)
         at = np.flatnonzero(total > max(6, 2 * seen / cells))
-        yield pa.RecordBatch.from_pydict({"cell": np.append(at, -1).astype(np.int32), "n": np.append(total[at], seen)})
+        yield pa.RecordBatch.from_pydict({"cell": np.append(at, -1).astype(np.int32), "n": np.append(total[at].astype(np.int64), seen)})
 
     sums = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()

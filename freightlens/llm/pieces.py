@@ -24,7 +24,9 @@ MARK = "▁"
 #: What an uncovered character costs beyond the worst piece.
 PENALTY = 10.0
 #: Distinct words a task remembers.
-MEMORY = 400_000
+MEMORY = 150_000
+#: Words cut together; the arrays of the search have several entries per byte of them.
+TOGETHER = 20_000
 _WORD = re.compile(rf" *[^ \n{MARK}]+| +|\n|{MARK}")
 
 
@@ -188,8 +190,6 @@ class Encoder:
         self.v, self.known, self.ids, self.off = v, {}, np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > MEMORY:
-            self.known, self.ids, self.off = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
         ids, off = viterbi([b"" if w == MARK else w.encode() for w in new], self.v)
         self.known |= {w: len(self.known) + k for k, w in enumerate(new)}
         self.ids, self.off = np.concatenate([self.ids, ids]), np.concatenate([self.off, off[1:] + self.off[-1]])
@@ -210,7 +210,9 @@ class Encoder:
         if new := sorted(distinct.difference(self.known)):
             if len(self.known) + len(new) > MEMORY:
                 new = sorted(distinct)
-            self._learn(new)
+                self.known, self.ids, self.off = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+            for k in range(0, len(new), TOGETHER):
+                self._learn(new[k : k + TOGETHER])
         k = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         first, count = self.off[k], self.off[k + 1] - self.off[k]
         total = np.cumsum(count)

@@ -14,7 +14,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 def small_batches(spark: SparkSession) -> None:
     """Whole texts can be long, so few go to Python at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

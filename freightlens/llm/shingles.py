@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text handled at once, but for a longer single text.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 19
 
 HEAT_BITS = 22
 
