@@ -90,8 +90,8 @@ def vocabulary(pieces: list[str], scores: list[float], byte_ids: list[int], skip
     words = {p: i for i, p in reversed(list(enumerate(plain))) if i not in out and p}
     if any(b" " in p.lstrip(b" ") or b"\n" in p for p in words):
         raise ValueError("a piece holds a marker after another character, or a line break")
-    if len(byte_ids) != 256:
-        raise ValueError("byte fallback needs 256 byte pieces")
+    if len(byte_ids) != 256 or not out <= set(range(len(pieces))):
+        raise ValueError("byte fallback needs 256 byte pieces, and ids must be those of pieces")
     for value, i in enumerate(byte_ids):
         plain[i] = bytes([value])
     return Vocabulary(plain, np.array(scores, np.float64), np.array(byte_ids, np.int32), *double_array(words))
