@@ -4,8 +4,8 @@ All lists of a partition form one trie below their groups. A probe walks it leve
 that begin alike share the walk and its partial overlap. A subtree is left when
 
 - its sizes cannot match the probe's,
-- the tokens that one side has and the other lacks so far, at least, already exceed what the threshold
-  allows for the longest set below (the bound on what the remaining tokens can still bring), or
+- the tokens that one side has and the other lacks so far, at least, already exceed the most that the
+  threshold allows for any set below (the bound on what the remaining tokens can still bring), or
 - it holds only members of the probe's own component, or only members before the probe.
 """
 
@@ -78,7 +78,8 @@ def candidates(group: np.ndarray, size: np.ndarray, plen: np.ndarray, last: np.n
         who, j = _spans(lo[node], ended[node])
         i, oo = probe[who], o[who]
         if len(i):
-            mine = last_rank[j] <= last_rank[i]  # all that is known of j is also within what is known of i
+            # All that is known of j is also within what is known of i; equal ranks do not tell, since a last token need not be in any list.
+            mine = last[j] <= last[i]
             _, below_i = known_before(i, last_rank[j])
             seen_j = np.where(length[j] > 0, spots[np.maximum(off[j + 1] - 1, 0)] + 1, 0)
             emit(i, j, oo, np.where(mine, below_i, plen[i]) - oo, np.where(mine, plen[j], seen_j) - oo)
@@ -114,7 +115,9 @@ def candidates(group: np.ndarray, size: np.ndarray, plen: np.ndarray, last: np.n
         match = (q < off[i + 1]) & (keyed[np.minimum(q, len(keyed) - 1)] == (i << 32 | r[child]))
         lost = (below_i - oo) + (reach[child] - oo) + ~match
         most = np.minimum(nmax[child], 100 * size[i] // percent)
-        keep = lost <= slack(size[i] + most, percent)
+        # The slack is not monotone but never falls in steps of two, so these two totals hold the greatest.
+        total = size[i] + most
+        keep = lost <= np.maximum(slack(total, percent), slack(total - 1, percent))
         probe, o, node = i[keep], oo[keep] + match[keep], child[keep]
         lo, hi, upto, depth = clo, chi, reach + 1, depth + 1
     i, j = (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)

@@ -121,6 +121,61 @@ def test_tree_leaves_out_no_pair():
                     assert (a, b) in got
 
 
+def test_tree_keeps_smaller_members_with_more_slack():
+    # At 85 two sets of 37 tokens together may differ in 3, and those of 38 only in 2.
+    slacks = trie.slack(np.arange(2, 400), 85)
+    assert (np.diff(slacks) < 0).any() and (slacks[2:] >= slacks[:-2]).all()
+    common = np.arange(1000, 1017)
+    sets = [np.sort(np.concatenate([common[:15], [5]])), np.concatenate([[1, 2], common[:15]]), np.concatenate([[1, 2], common[:15], [2000]]), np.concatenate([[5], common[:15], [2001]])]
+    for percent in range(50, 100):
+        rng = np.random.default_rng(percent)
+        some = [np.unique(np.concatenate([rng.choice(6, rng.integers(0, 4)), 1000 + np.arange(rng.integers(8, 30)), 2000 + rng.choice(4, rng.integers(0, 3))])) for _ in range(60)]
+        whole = sets + some
+        size = np.array([len(s) for s in whole])
+        plen = size + percent * -size // 100 + 1
+        known = [s[:p] for s, p in zip(whole, plen)]
+        flat, n = np.unique(np.concatenate(known), return_counts=True)
+        twice = set(flat[n > 1].tolist())
+        places = [np.array([i for i, x in enumerate(k) if x in twice], np.int64) for k in known]
+        i, j = trie.candidates(np.zeros(len(whole), np.int64), size, plen, np.array([k[-1] for k in known]), np.arange(len(whole)), [k[p] for k, p in zip(known, places)], places, percent)
+        got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+        for a, x in enumerate(whole):
+            for b in range(a + 1, len(whole)):
+                inter = len(np.intersect1d(x, whole[b]))
+                if len(np.intersect1d(known[a], known[b])) and 100 * inter >= percent * (len(x) + len(whole[b]) - inter):
+                    assert (a, b) in got, percent
+
+
+def test_tree_keeps_pairs_whose_last_tokens_are_in_no_list():
+    # 17 of 20 tokens are shared. Of these only 10 is known of both: 11 is known of the second set alone.
+    sets = [np.array([1, 2, *range(10, 27)]), np.array([3, *range(10, 27)])]
+    for a, b in ((0, 1), (1, 0)):
+        x, y = sets[a], sets[b]
+        size = np.array([len(x), len(y)])
+        plen = size + 85 * -size // 100 + 1
+        last = np.array([x[plen[0] - 1], y[plen[1] - 1]])
+        places = [np.flatnonzero(s == 10) for s in (x, y)]
+        i, j = trie.candidates(np.zeros(2, np.int64), size, plen, last, np.arange(2), [np.array([10])] * 2, places, 85)
+        assert sorted([*i.tolist(), *j.tolist()]) == [0, 1]
+
+
+def test_join_keeps_links_below_a_larger_member(spark):
+    texts = []
+    for f in range(40):  # which pairs the tree has to find depends on hashes
+        base = " ".join(f"w{f}_{i}" for i in range(1, 21))
+        b, a = f"r{f} {base}", f"p{f} q{f} {base}"
+        texts += [b, f"{b} z2", a, f"{a} z1"]
+        # Long texts around the same words make their shingles common, so that they come last in order.
+        texts += [" ".join([f"f{f}_{k}x{i}" for i in range(30)] + [base] + [f"g{f}_{k}x{i}" for i in range(30)]) for k in range(12)]
+        # Short ones are hubs, so that no hub is compared with all four at once.
+        texts += [" ".join(base.split()[i : i + 8]) for i in range(13)]
+    rows = list(enumerate(texts))
+    want, _ = brute(rows, 4, 85)
+    assert sum(c == d for d, _, c in want) == 40 * 26
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), width=4, percent=85)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == want
+
+
 def test_long_texts_are_whole():
     words = [f"w{i}" for i in range(300_000)]
     (_, a), (_, b) = shingles([" ".join(words), " ".join(words[:-1] + ["other"])], 4)
