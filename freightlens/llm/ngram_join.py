@@ -270,8 +270,9 @@ def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> Da
     return members.select("cell", "node", "comp", "text").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, rk (a hash of id and text), n_shingles, component_id for every row of docs.
+def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, percent: int = 85, with_root: bool = False) -> DataFrame:
+    """doc_id, rk (a hash of id and text), n_shingles, component_id for every row of docs; with_root adds
+    root, the component's least node, which tells components apart whatever their ids (null without words).
 
     Words are runs other than space and \\t..\\r, with A-Z in lower case. Sets of `width`-word shingles
     link when 100 * intersection >= percent * union.
@@ -336,21 +337,21 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
         roots = components(links)
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
+    of_node = named.join(least, "root").select("node", "component_id", *(["root"] if with_root else []))
     out = sets.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
-    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *(["root"] if with_root else []))
 
 
 def keep_first(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group that links join: the one of the least doc_id (null last), and one
-    of equal rows. Rows without words stay. Which rows go is told from ids and hashes, and only texts
+    """docs with one row of each group that links join: the one of the least doc_id (null last; then of the least
+    rk), and one of equal rows. Rows without words stay. Which rows go is told from ids and hashes, and only texts
     that may go are shuffled."""
-    found = materialize(join(docs, doc_id=doc_id, text=text, width=width, percent=percent))
+    found = materialize(join(docs, doc_id=doc_id, text=text, width=width, percent=percent, with_root=True))
     worded = found.filter("n_shingles > 0")
-    # Groups that have only null ids have no component id: they are told apart by their rows' hash.
-    first = worded.filter("doc_id = component_id").groupBy("component_id").agg(F.min("rk").alias("_keep"))
-    extra = worded.groupBy("rk").agg(F.count("*").alias("_n"), F.min("component_id").alias("component_id"))
-    judged = extra.join(first, "component_id", "left").withColumn("_one", F.coalesce(F.col("rk") == F.col("_keep"), F.col("component_id").isNull()))
+    # Ids may repeat or be null, so a group is told by its root and a row by its hash.
+    first = worded.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "rk")).alias("_k")).select(F.col("_k.rk").alias("rk"), F.lit(True).alias("_kept"))
+    extra = worded.groupBy("rk").agg(F.count("*").alias("_n"))
+    judged = extra.join(first, "rk", "left").withColumn("_one", F.coalesce("_kept", F.lit(False)))
     judged = materialize(judged.filter("_n > 1 or not _one").select(F.col("rk").alias("_rk"), "_one"))
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), row_key(doc_id, text).alias("_rk"))

@@ -93,6 +93,15 @@ def test_keep_one_of_each_group(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(1, text, "b"), (2, "other words here " * 9, "c"), (None, None, "d"), (None, None, "d")], key=str)
 
 
+def test_keep_one_of_each_group_of_clashing_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one, "a"), (1, two, "b"), (2, two + " end", "c"), (3, three, "d"), (3, three + " end", "e"), (None, "x " + three, "f")]
+    rows += [(None, " ".join(f"n{i}" for i in range(60)) + end, "g") for end in ("", " end", " stop")]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string, node string"), width=5, percent=80).collect()
+    ids = sorted((r.node, r.doc_id) for r in kept if r.node not in "de")
+    assert ids == [("a", 1), ("b", 1), ("g", None)] and [r.doc_id for r in kept if r.node in "de"] == [3]
+
+
 def test_tree_leaves_out_no_pair():
     rng = np.random.default_rng(1)
     for percent in (50, 70, 85):
