@@ -47,6 +47,14 @@ def test_stages(spark):
     assert len(rows[5]) == len(rows[4]) and all(r[3] == len(r[4]) > 0 for r in rows[5])
 
 
+def test_language_keeps_unsure_and_unlabelled_documents(spark):
+    columns = "doc_id long, text string, lang string"
+    close = [(k, f"the same words in {n} languages", n) for k, n in enumerate(("aa", "bb", "cc", "dd"))] + [(4, "the same words", None), (5, "12 34", "aa"), (6, None, "aa")]
+    for rows in (close, [(d, t, None) for d, t, _ in close]):
+        kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, columns), "")
+        assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and out.count() > 100
