@@ -17,9 +17,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset and the executors
+    are this process (tests). On a cluster it has to be set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="freightlens-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -57,6 +60,29 @@ def discard(*tables: DataFrame) -> None:
                 jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def hashed_share(key: Column, most: int, n: int) -> Column:
+    """True for the rows of about `most` of `n` keys, the same ones each time: 62 bits of the key's hash against a
+    threshold, which stays above 0 up to some 10**18 times more keys than are wanted."""
+    return F.xxhash64(key).bitwiseAND(F.lit(2**62 - 1)) < F.lit(min(2**62, most * 2**62 // max(1, n)))
+
+
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with `value` computed once, though body may name it within lambdas and often."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op) -> Column:  # noqa: ANN001
+    """op.reduce over each beginning of an array, for an associative op: n log n steps, where a fold that appends
+    to an array copies it each time. Pass k joins each item with the one 2**k before it."""
+    passes = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int") - 1))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(acc, lambda x, i: F.when(i >= back, op(F.get(acc, i - back), x)).otherwise(x))
+
+    return F.aggregate(passes, values, step)
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in (0, 1) with 52 random bits that depends on seed and key alone."""
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import let, materialize, running
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,11 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: More alternatives than this, and the part of the regex counts as anything.
 MOST = 64
+#: Trigrams told apart by the bits of one number, and rules by those of another.
+WORD_BITS = 62
+SPAN = "struct<start:int,kind:int,end:int>"
+#: Code points of the segments that a text is cut into for masking.
+SEGMENT = 1024
 
 
 def _literals(items) -> list[str]:  # noqa: ANN001
@@ -92,38 +97,46 @@ def postings(docs: DataFrame, grams: Sequence[str], *, doc_id="doc_id", text="te
 
 def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES, *, doc_id="doc_id", text="text") -> DataFrame:
     """key, rules: a bit per rule whose trigram query the postings of a text satisfy."""
+    if len(rules) > WORD_BITS:
+        raise ValueError(f"more than {WORD_BITS} rules: scan with fewer at a time")
     asked = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in asked for s in q or [] for g in s})
-    if len(grams) > 62:
-        raise ValueError("more than 62 trigrams: scan with fewer rules at a time")
-    at = {g: 1 << i for i, g in enumerate(grams)}
-    held = postings(docs, grams, doc_id=doc_id, text=text).groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, gram)")).alias("_held"))
-    bits = F.lit(0)
+    at = {g: divmod(i, WORD_BITS) for i, g in enumerate(grams)}
+    words = range(-(-len(grams) // WORD_BITS))
+    bit = F.expr(f"shiftleft(1L, gram % {WORD_BITS})")
+    # The first column keeps the aggregate whole where no rule asks for a trigram.
+    of_word = [F.bit_or(F.when(F.floor(F.col("gram") / WORD_BITS) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_held{w}") for w in words]
+    held = postings(docs, grams, doc_id=doc_id, text=text).groupBy("key").agg(F.lit(0).alias("_any"), *of_word)
+    bits = F.lit(0).cast("bigint")
     for i, q in enumerate(asked):
         if q is not None:
             any_of = F.lit(False)
             for s in q:
-                mask = F.lit(sum(at[g] for g in s))
-                any_of = any_of | (F.col("_held").bitwiseAND(mask) == mask)
-            bits = bits + F.when(any_of, 1 << i).otherwise(0)
+                all_of = F.lit(True)
+                for w in words:
+                    if mask := sum(1 << at[g][1] for g in s if at[g][0] == w):
+                        all_of = all_of & (F.col(f"_held{w}").bitwiseAND(F.lit(mask).cast("bigint")) == mask)
+                any_of = any_of | all_of
+            bits = bits + F.when(any_of, F.lit(1 << i).cast("bigint")).otherwise(0)
     return held.select("key", bits.alias("rules")).filter("rules > 0")
 
 
 def _found(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, order, end) of a rule's matches, in code points: the regex cuts the text into
     pieces and matches in turn, so lengths add up to places."""
-    pattern = F.lit(rule.pattern)
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("piece"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"))
-    span = "struct<start:int,kind:int,end:int>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    lengths = lambda texts: F.transform(texts, F.length)
+    parts = F.struct(
+        lengths(F.split(text, rule.pattern, -1)).alias("piece"),
+        lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias("match"),
+        lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))).alias("value"),
+    )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= max(1, rule.least), F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def spans(p: Column) -> Column:
+        steps = F.transform(p["match"], lambda _, i: F.get(p["piece"], i) + F.coalesce(F.get(p["match"], i - 1), F.lit(0)))
+        placed = F.transform(running(steps, lambda x, y: x + y), lambda start, i: F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + F.get(p["match"], i)).alias("end")))
+        return F.filter(placed, lambda _, i: F.get(p["value"], i) >= max(1, rule.least))
 
-    return F.aggregate(parts, begin, step, lambda acc: acc["spans"])
+    return let(parts, spans)
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, *, doc_id="doc_id", text="text") -> DataFrame:
@@ -132,15 +145,17 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, *, doc_id="doc_id", tex
     - null or empty text: no spans. Empty table: empty result. Extra columns stay (one named _spans is replaced)
     - repeated rows and ids: each row is there once with its own text's spans; null ids are ids too
     - matches of one rule do not overlap, leftmost first; those of different rules may, and all are kept
+    - very long texts and many secrets: time grows as n log n with a text's secrets
     """
-    held = materialize(candidates(docs, rules, doc_id=doc_id, text=text)).select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
-    rows = docs.drop("_spans", "_key", "_rules").withColumn("_key", _key(doc_id, text)).join(held, "_key", "left")
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    held = materialize(candidates(docs, rules, doc_id=doc_id, text=text))
+    kept = [c for c in docs.columns if c != "_spans"]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"), _key(doc_id, text).alias("key")).join(held, "key", "left")
+    empty = F.array().cast(f"array<{SPAN}>")
     found = []
     for i, r in enumerate(rules):
-        may = F.col(text).rlike(r.pattern) if trigram_query(r.pattern) is None else F.col("_rules").bitwiseAND(F.lit(1 << i)) > 0
-        found.append(F.when(may, _found(F.col(text), r, i)).otherwise(empty))
-    return rows.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_key", "_rules")
+        may = F.col("text").rlike(r.pattern) if trigram_query(r.pattern) is None else F.col("rules").bitwiseAND(F.lit(1 << i).cast("bigint")) > 0
+        found.append(F.when(may, _found(F.col("text"), r, i)).otherwise(empty))
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], F.array_sort(F.concat(*found)).alias("_spans"))
 
 
 def listed(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
@@ -150,13 +165,23 @@ def listed(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by `mask`; null stays null."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    whole = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    """The text with each run of overlapping spans replaced by `mask`; null stays null. The text is cut into segments
+    once and what is kept is taken from these, since finding a place in a whole text takes as long as the text is."""
+
+    def piece(segments: Column, a: Column, b: Column) -> Column:
+        """Code points [a, b)."""
+        first = F.floor(a / SEGMENT).cast("int")
+        some = F.slice(segments, first + 1, F.floor((b + SEGMENT - 1) / SEGMENT).cast("int") - first)
+        within = F.transform(some, lambda x, i: F.substring(x, F.greatest(F.lit(0), a - (first + i) * SEGMENT) + 1, b - F.greatest(a, (first + i) * SEGMENT)))
+        return F.when(b > a, F.array_join(within, "")).otherwise("")
+
+    def masked(d: Column) -> Column:
+        spans_, tops = d["spans"], d["tops"]
+        before = lambda i: F.coalesce(F.get(tops, i - 1), F.lit(0))
+        gaps = F.transform(spans_, lambda s, i: F.struct(before(i).alias("a"), s["start"].alias("b"), (s["start"] >= before(i)).alias("new")))
+        kept = F.transform(F.filter(gaps, lambda g: g["new"]), lambda g: piece(d["segments"], g["a"], g["b"]))
+        return F.array_join(F.concat(kept, F.array(piece(d["segments"], F.element_at(tops, -1), d["n"]))), mask)
+
+    tops = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    given = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)).alias("segments"), spans.alias("spans"), tops.alias("tops"), F.length(text).alias("n"))
+    return F.when(F.size(spans) > 0, let(given, masked)).otherwise(text)

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from freightlens.llm import secrets
 
 
@@ -31,7 +33,8 @@ def test_trigram_queries_are_necessary():
 
 def test_scan_equals_regexes(spark):
     rows = [(i, t, "k") for i, t in enumerate(texts())] + [(None, None, "k"), (None, "token=abcdef", "k"), (4, "token=abcdef", "k"), (4, "token=abcdef", "k")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").selectExpr("*", "_key as key", "_key as _rules", "_key as row").repartition(3)
+    assert secrets.scan(df).columns == [*df.columns, "_spans"] and {r[0] for r in secrets.scan(df).select("_rules").distinct().collect()} == {"k"}
     got = sorted(((r.doc_id, r.text, [(s.start, s.kind, s.end) for s in r._spans]) for r in secrets.scan(df).collect()), key=str)
     assert got == sorted(((d, t, spans(t or "")) for d, t, _ in rows), key=str)
     assert secrets.scan(df.limit(0)).collect() == []
@@ -42,3 +45,31 @@ def test_masking(spark):
     df = secrets.scan(spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id long, text string"))
     out = [r[0] for r in df.orderBy("doc_id").select(secrets.redacted(df.text, df._spans)).collect()]
     assert out == ["é [SECRET] and [SECRET]; [SECRET] end", "clean", None]
+
+
+def test_many_secrets_and_long_texts(spark):
+    import time
+
+    rng, text = random.Random(3), []
+    for i in range(16_000):
+        text.append(rng.choice(("é plain words ", "𝔘", "token=abcd", "x" * 3000 if i % 1000 == 0 else " ")) + f" token=secret{i:05d} ")
+    text = "".join(text)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.monotonic()
+    found = secrets.scan(df).select("_spans", secrets.redacted(F.col("text"), F.col("_spans"))).first()
+    took = time.monotonic() - begin
+    assert [(s.start, s.kind, s.end) for s in found[0]] == spans(text)
+    out, at = [], 0
+    for a, _, b in spans(text):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert found[1] == "".join(out) + text[at:] and took < 15
+
+
+def test_more_trigrams_than_one_number_holds(spark):
+    rules = [secrets.Rule(f"r{i}", f"zq{chr(97 + i)}{chr(98 + i)}xy[0-9]+") for i in range(24)]
+    rows = [(i, f"before zq{chr(97 + i)}{chr(98 + i)}xy{i}7 zq{chr(97 + i)} xy") for i in range(24)] + [(99, "zq xy")]
+    got = {r.doc_id: [(s.kind, s.end - s.start) for s in r._spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect()}
+    assert got == {99: [], **{i: [(i, 6 + len(f"{i}7"))] for i in range(24)}}
+    assert secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), [secrets.RULES[2]]).filter("size(_spans) > 0").count() == 0
