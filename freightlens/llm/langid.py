@@ -15,11 +15,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_share
+
 BUCKETS = 1 << 16
 #: n-grams of one to four characters, by position of their last character.
 ORDERS = (1, 2, 3, 4)
 #: The most labelled documents that the counts are fitted on.
 MAX_TRAIN = 20_000
+#: The most languages: the matrix then has 64 MB.
+MAX_LANGS = 256
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -32,53 +36,68 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case code points with runs of non-letters made one blank, and a blank at both ends."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case code points of all texts together, runs of non-letters made one blank and a blank at both ends
+    of each; and the text that each belongs to."""
+    low = [f" {t.lower()} " for t in texts]
+    owner = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     plain = (c < 128) & ~((c >= 97) & (c <= 122))
     c = np.where(plain, np.uint32(32), c)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
-    return c[keep]
-
-
-def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
-    """Bucket of each n-gram of one order."""
-    n = len(codes) - order + 1
-    if n <= 0:
-        return np.empty(0, np.int32)
-    codes = codes.astype(np.uint64)
-    h = np.full(n, order, np.uint64)
-    for k in range(order):
-        h = (h ^ codes[k : k + n]) * _MIX
-        h ^= h >> np.uint64(29)
-    return (h >> np.uint64(16)).astype(np.int64) & (BUCKETS - 1)
-
-
-def _parts(text: str) -> Iterator[np.ndarray]:
-    codes = _codes(text)
-    for a in range(0, len(codes), _CHUNK):
-        yield codes[max(0, a - max(ORDERS) + 1) : a + _CHUNK], min(a, max(ORDERS) - 1)
+    keep[1:] = (c[1:] != 32) | (c[:-1] != 32) | (owner[1:] != owner[:-1])
+    return c[keep], owner[keep]
+
+
+def _grams(codes: np.ndarray, owner: np.ndarray, lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and text of each n-gram, by order; those that end within the first `lead` codes are left out."""
+    wide = codes.astype(np.uint64)
+    for order in ORDERS:
+        n = len(codes) - order + 1
+        if n <= 0:
+            return
+        h = np.full(n, order, np.uint64)
+        for k in range(order):
+            h = (h ^ wide[k : k + n]) * _MIX
+            h ^= h >> np.uint64(29)
+        whole = owner[:n] == owner[order - 1 :]
+        whole[: max(0, lead - order + 1)] = False
+        yield ((h >> np.uint64(16)).astype(np.int64) & (BUCKETS - 1))[whole], owner[:n][whole]
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Codes, owners and lead of some short texts together, or of a part of a long one: parts overlap, so that
+    every n-gram is in one of them."""
+    first, size = 0, 0
+    for i, t in enumerate([*texts, None]):
+        if t is None or size + len(t) > _CHUNK:
+            if first < i:
+                codes, owner = _codes(texts[first:i])
+                for a in range(0, len(codes), 2 * _CHUNK):
+                    start = max(0, a - max(ORDERS) + 1)
+                    yield codes[start : a + 2 * _CHUNK], owner[start : a + 2 * _CHUNK] + first, a - start
+            first, size = i, 0
+        size += len(t or "")
 
 
 def counts(text: str) -> np.ndarray:
     """n-grams of a whole text by bucket."""
     out = np.zeros(BUCKETS, np.int64)
-    for codes, lead in _parts(text):
-        for n in ORDERS:
-            # n-grams that end within the lead belong to the part before.
-            got = _buckets(codes, n)[max(0, lead - n + 1) :]
-            out += np.bincount(got, minlength=BUCKETS)
+    for part in _parts([text]):
+        for bucket, _ in _grams(*part):
+            out += np.bincount(bucket, minlength=BUCKETS)
     return out
 
 
-def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train: int = MAX_TRAIN, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities (BUCKETS x languages) from at most about `max_train`
     labelled rows, picked by a hash of `key` so that reruns agree. All languages get equal priors.
-    Rows without text, language or letters teach nothing; no such row at all gives no language."""
+    Rows without text, language or letters teach nothing; no such row at all gives no language. More than
+    `max_langs` languages are an error, since the matrix goes to every task."""
     labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    share = min(1.0, max_train / max(1, labelled.select("k").count()))
-    sample = labelled.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000))
+    if labelled.select("l").distinct().limit(max_langs + 1).count() > max_langs:
+        raise ValueError(f"more than {max_langs} languages: raise max_langs if their matrix fits into each task")
+    sample = labelled.filter(hashed_share(F.col("k"), max_train, labelled.select("k").count()))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
@@ -101,30 +120,37 @@ def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train: i
 
 
 def score_texts(texts: list[str | None], names: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text. Each text's sparse n-gram counts, one entry per n-gram found,
-    times the matrix; the score is the winner's share of the posterior per root of n-grams, so that it
-    stays below 1 for texts between languages. Ties: the first language by name."""
-    langs, scores = [], np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        if t is None or not names or not _LETTER.search(t):
-            langs.append(UNKNOWN)
-            continue
-        total, grams = np.zeros(len(names)), 0
-        for codes, lead in _parts(t):
-            ids = np.concatenate([_buckets(codes, n)[max(0, lead - n + 1) :] for n in ORDERS])
-            grams += len(ids)
-            total += logp.take(ids, axis=0).sum(axis=0, dtype=np.float64)
-        z = np.exp((total - total.max()) / np.sqrt(max(1, grams)))
-        k = int(np.argmax(total))
-        langs.append(names[k])
-        scores[i] = min(1.0, float(z[k] / z.sum()))
+    """Language and score of each text. The n-grams of many texts together are one sparse matrix of counts, given
+    by its rows' buckets, and its product with `logp` is a sum of the named rows for each text. The score is the
+    winner's share of the posterior per root of n-grams, so that it stays below 1 for texts between languages.
+    Ties: the first language by name."""
+    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    at = [i for i, t in enumerate(texts) if names and t is not None and _LETTER.search(t)]
+    total, grams = np.zeros((len(at), len(names))), np.zeros(len(at))
+    for part in _parts([texts[i] for i in at]):
+        for bucket, owner in _grams(*part):
+            for a in range(0, len(bucket), max(1, _CHUNK * 4 // len(names))):
+                b, o = bucket[a : a + max(1, _CHUNK * 4 // len(names))], owner[a : a + max(1, _CHUNK * 4 // len(names))]
+                first = np.flatnonzero(np.diff(o, prepend=-1))
+                total[o[first]] += np.add.reduceat(logp.take(b, axis=0), first, axis=0, dtype=np.float64)
+                grams[o[first]] += np.diff(np.append(first, len(o)))
+    if at:
+        best = total.argmax(axis=1)
+        z = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(1, grams))[:, None])
+        scores[at] = np.minimum(1.0, z[np.arange(len(at)), best] / z.sum(axis=1))
+        for i, k in zip(at, best):
+            langs[i] = names[k]
     return langs, scores
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs with lang_pred and score (columns of these names are replaced). Null text, or text without
-    a letter: `und`, score 0. The text alone decides; extra columns stay; empty table: empty result."""
-    docs = docs.drop(lang_out, score_out)
+    """docs with lang_pred and score (columns of these names are replaced).
+
+    - null text, or text without a letter, or a model without languages: `und`, score 0
+    - the text alone decides, so repeated rows and ids get equal answers; ties: the first language by name
+    - very long texts: scored whole, in parts of fixed size
+    - extra columns stay, whatever their names; empty table: empty result"""
+    kept = [c for c in docs.columns if c not in (lang_out, score_out)]
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")
@@ -134,4 +160,5 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str =
         langs, scores = score_texts([t if isinstance(t, str) else None for t in texts], *given.value)
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.withColumn("_lid", scored(F.col(text))).withColumns({lang_out: F.col("_lid.lang"), score_out: F.col("_lid.score")}).drop("_lid")
+    found = docs.select(F.struct(*kept).alias("row"), scored(F.col(text)).alias("found"))
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], F.col("found.lang").alias(lang_out), F.col("found.score").alias(score_out))
