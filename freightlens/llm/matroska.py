@@ -117,9 +117,9 @@ def _number(data: bytes, at: int, end: int, keep: bool = False) -> tuple[int | N
     return (None if n == (1 << 7 * width) - 1 else n), at + width, width
 
 
-def _elements(data: bytes, at: int, end: int, inside: frozenset = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """id, start and end of each element's body. One of unknown size ends where an element begins
-    that is not in `inside`, its possible children, or with what holds it."""
+def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """id, start and end of each element's body. A cluster of unknown size ends where an element begins that is no
+    child of a cluster, any other element of unknown size with what holds it."""
     while at < end:
         i, body, _ = _number(data, at, end, keep=True)
         n, body, _ = _number(data, body, end)
@@ -239,8 +239,11 @@ def padded(text: str | None, unit: int = FRAME) -> bytes:
 
 
 def with_media(docs: DataFrame, *, text: str = "text", out: str = "media") -> DataFrame:
-    """docs with a Matroska file of each whole text in column `out` (replaced if there). A null or
-    empty text is one frame of padding; equal texts give equal files; extra columns stay."""
+    """docs with a Matroska file of each whole text in column `out` (replaced if there).
+
+    - null or empty text: one frame of padding. Equal texts, repeated rows and ties: equal files
+    - very long texts: one file each, as long as the text and some bytes a block; nothing is cut off
+    - extra columns stay. Empty table: empty result"""
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:

@@ -59,5 +59,6 @@ def place(docs: DataFrame, *, key: str = "doc_id", shards: Sequence[str] = SHARD
     - empty table: empty result. Texts are not read.
     The lookup table has `size` rows, so it is sent to all tasks and no document is shuffled.
     """
-    docs = docs.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), size))
-    return docs.join(F.broadcast(lookup(docs.sparkSession, shards, size)), "slot", "left").select(*docs.columns, "shard")
+    kept = [c for c in docs.columns if c not in ("slot", "shard")]
+    rows = docs.select(F.struct(*kept).alias("row"), slot_of(F.col(key), size).alias("slot"))
+    return rows.join(F.broadcast(lookup(docs.sparkSession, shards, size)), "slot", "left").select(*[F.col("row")[c].alias(c) for c in kept], "slot", "shard")
