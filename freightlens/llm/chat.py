@@ -11,14 +11,20 @@ The template: `<s>` opens a conversation, and each turn is
 turn's kind follows from how it starts, and its text ends at the first closing mark of that kind
 that no backslash precedes. A text is first rendered as it is; if the parser does not give back that
 role and text, and nothing more, the text is escaped and rendered again until it does.
+
+A turn ends where its closing mark does, so a formatted conversation is its formatted turns one after the other.
+`digests` uses that: turns are rendered and reparsed as rows, in parallel, and only then sorted by conversation and
+read as a stream, so a conversation of any length needs no more memory than its longest turn.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,23 +82,33 @@ def parse(s: str) -> list[tuple[str, int, int, str]]:
     return turns
 
 
-def render_turn(role: str, text: str) -> str:
-    """The first of: as it is, control strings escaped, everything that matters escaped, that the
-    parser reads back as this turn and nothing else."""
-    plain_role = role in OPEN
-    for change in (lambda x: x, escape, lambda x: escape(x, True)):
-        body = change(text)
-        out = OPEN[role] + body + CLOSE[role] if plain_role else f"{ROLE_OPEN}{escape(role, True)}] {body}{ROLE_CLOSE}"
+#: What is tried on a text in turn: as it is, control strings escaped, everything that matters escaped.
+CHANGES = (lambda x: x, escape, lambda x: escape(x, True))
+
+
+def written(role: str, text: str, change: int) -> str:
+    body = CHANGES[change](text)
+    return OPEN[role] + body + CLOSE[role] if role in OPEN else f"{ROLE_OPEN}{escape(role, True)}] {body}{ROLE_CLOSE}"
+
+
+def change_for(role: str, text: str) -> int:
+    """The first of CHANGES after which the parser reads back this turn and nothing else."""
+    for change in range(len(CHANGES)):
+        out = written(role, text, change)
         # After this turn another one stands, so it must also end where it is meant to.
         try:
             got, start, end, after = parse_turn(out + BOS, 0)
         except ValueError:
             continue
         if after == len(out) and got == role and unescape(out[start:end]) == text:
-            return out
+            return change
     raise ValueError(f"no escape makes this turn of {role!r} unambiguous")
 
 
+def render_turn(role: str, text: str) -> str:
+    return written(role, text, change_for(role, text))
+
+
 def render(turns: list[tuple[str, str]]) -> str:
     out = BOS + "".join(render_turn(r, t) for r, t in turns)
     if [(r, t) for r, _, _, t in parse(out)] != turns:
@@ -130,23 +146,81 @@ def parsed(formatted: Column) -> Column:
     return read(formatted)
 
 
-def digests(chats: DataFrame) -> DataFrame:
-    """Per conversation, read back from `formatted`: n_turns, turns_sha256 (role, line break, text, line
-    break per turn), loss_chars and loss_sha256 (the assistant's texts under the mask, unescaped),
-    formatted_chars."""
+def turns_of(rows: DataFrame, *, by: Sequence[str] = ("conv_id",), turn="turn", role="role", text="text") -> DataFrame:
+    """The columns `by`, _turn, _role, _text and _change (position in CHANGES) of each row."""
 
-    @F.pandas_udf("struct<n_turns:bigint,turns_sha256:string,loss_chars:bigint,loss_sha256:string,formatted_chars:bigint>")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for s in texts:
-            turns = parse(s)
-            loss = "".join(unescape(s[a:b]) for r, a, b, _ in turns if r == "assistant")
-            both = "".join(f"{r}\n{t}\n" for r, _, _, t in turns)
-            sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (both, loss)]
-            out.append((len(turns), sha[0], len(loss), sha[1], len(s)))
-        return pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    @F.pandas_udf("int")
+    def change(roles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([change_for(r, t) for r, t in zip(roles, texts)], dtype="int32")
 
-    return chats.withColumn("_d", digest("formatted")).select("conv_id", "_d.*")
+    empty = F.lit("")
+    out = rows.select(*by, F.col(turn).alias("_turn"), F.coalesce(F.col(role).cast("string"), empty).alias("_role"), F.coalesce(F.col(text).cast("string"), empty).alias("_text"))
+    return out.withColumn("_change", change("_role", "_text"))
+
+
+class _Reader:
+    """Digests of one conversation, turn by turn as they are read back."""
+
+    def __init__(self) -> None:
+        self.n, self.loss_chars, self.chars = 0, 0, len(BOS)
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def read(self, piece: str) -> None:
+        role, start, end, after = parse_turn(piece, 0)
+        if after != len(piece):
+            raise ValueError("round trip failed")
+        raw = lambda s: s.encode("utf-8", "surrogatepass")
+        said = unescape(piece[start:end])
+        self.n += 1
+        self.chars += len(piece)
+        self.turns.update(raw(f"{role}\n{said}\n"))
+        if role == "assistant":
+            self.loss_chars += len(said)
+            self.loss.update(raw(said))
+
+    def row(self) -> tuple:
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def digests(rows: DataFrame, *, by: Sequence[str] = ("conv_id",), turn="turn", role="role", text="text") -> DataFrame:
+    """Per conversation, read back from its formatted turns: the columns `by`, n_turns, turns_sha256 (role, line
+    break, text, line break per turn), loss_chars and loss_sha256 (the assistant's texts under the mask, unescaped),
+    formatted_chars (of the whole conversation with its beginning mark).
+
+    - order, nulls, unknown roles, repeated rows: as in `format_chats`. Empty table: empty result
+    - very long texts and conversations: a task holds some turns at a time, whatever the conversation's length
+    - several columns in `by` tell conversations apart together; null is a value. Other columns are not read
+    """
+    names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reader, done, types = None, None, [], None
+
+        def closed() -> pa.RecordBatch:
+            keys, values = zip(*done)
+            columns = [pa.array(c, t) for c, t in zip([*zip(*keys), *zip(*values)], [*types, *kinds])]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*by, *names])
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            for *key, r, t, change in zip(*[b.column(c).to_pylist() for c in (*by, "_role", "_text", "_change")]):
+                if reader is None or key != now:
+                    if reader is not None:
+                        done.append((now, reader.row()))
+                        if len(done) >= 1000:
+                            yield closed()
+                    now, reader = key, _Reader()
+                reader.read(written(r, t, change))
+        if reader is not None:
+            done.append((now, reader.row()))
+            yield closed()
+
+    turns = turns_of(rows, by=by, turn=turn, role=role, text=text)
+    spread = turns.repartition(*by).sortWithinPartitions(*by, "_turn", "_role", "_text")
+    key = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return spread.mapInArrow(run, f"{key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def conflict(spark: SparkSession) -> DataFrame:
