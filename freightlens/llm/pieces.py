@@ -6,14 +6,17 @@ earliest. A character that no piece covers alone may be taken at a penalty and i
 pieces. Decoding joins the pieces, turns markers to blanks, byte pieces to bytes, and drops the first blank.
 
 No piece holds a marker after another character, nor a line break, so the best cut of a text is the
-best cuts of its words put together; each distinct word is cut once per task.
+best cuts of its words put together; each distinct word is cut once per task. A text is read a section at a time, and
+a very long word is searched in windows that hand on the scores of the places a piece can still reach.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,10 @@ PENALTY = 10.0
 MEMORY = 150_000
 #: Words cut together; the arrays of the search have several entries per byte of them.
 TOGETHER = 20_000
+#: Characters from which on a word is searched alone, in windows of so many bytes, and not remembered.
+LONG, WINDOW = 2048, 1 << 15
+#: Words, or characters of a text, that are handled at once.
+SECTION = 1 << 17
 _WORD = re.compile(rf" *[^ \n{MARK}]+| +|\n|{MARK}")
 
 
@@ -114,17 +121,9 @@ def from_model(path: str, zipf: bool = True) -> Vocabulary:
     return vocabulary([sp.id_to_piece(i) for i in range(n)], list(scores), [of_byte[f"<0x{b:02X}>"] for b in range(256)], skip)
 
 
-def viterbi(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words together, and where each word's begin (one more at the end)."""
-    data = np.frombuffer(b"".join(words), np.uint8)
-    lens = np.array([len(w) for w in words], np.int64)
-    stop = np.cumsum(lens)
-    start = stop - lens
-    n = len(data)
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    width = np.diff(np.append(at, n))  # bytes of each character; words end at characters' ends
-    limit = np.repeat(stop, lens)[at] if n else at
+def _edges(data: np.ndarray, at: np.ndarray, width: np.ndarray, limit: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and id of all pieces that begin at the places `at` and end by `limit`; a character of `width`
+    bytes that is no piece alone is there with id -1."""
     froms, tos, ids = [], [], []
     alone = np.zeros(len(at), bool)
     live, state, pos = np.arange(len(at)), np.zeros(len(at), np.int64), at.copy()
@@ -144,7 +143,65 @@ def viterbi(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     froms.append(at[bare])
     tos.append(at[bare] + width[bare])
     ids.append(np.full(len(bare), -1, np.int32))
-    frm, to, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
+    return np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
+
+
+def _spelled(piece: np.ndarray, frm: np.ndarray, to: np.ndarray, data: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of chosen edges, with byte pieces for those of id -1, and their number for each edge."""
+    count = np.where(piece >= 0, 1, to - frm)
+    total = np.cumsum(count)
+    out = np.repeat(piece, count)
+    byte_at = np.repeat(frm, count) + np.arange(len(out)) - np.repeat(total - count, count)
+    return np.where(out >= 0, out, v.byte_ids[data[byte_at]]).astype(np.int32) if len(out) else out.astype(np.int32), count
+
+
+def viterbi_long(word: bytes, v: Vocabulary) -> np.ndarray:
+    """Ids of one word, as `viterbi` gives them: a window of starts at a time, so that only the way back (eight
+    bytes for each of the word's) grows with the word."""
+    data, n, longest = np.frombuffer(word, np.uint8), len(word), max(4, *map(len, v.pieces))
+    came, by = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
+    best, lo, poor = [0.0], 0, v.scores.min() - PENALTY
+    while lo < n:
+        hi = min(n, lo + WINDOW)
+        while hi < n and data[hi] & 0xC0 == 0x80:
+            hi += 1
+        at = np.flatnonzero((data[lo:hi] & 0xC0) != 0x80) + lo
+        frm, to, piece = _edges(data, at, np.diff(np.append(at, hi)), np.full(len(at), n), v)
+        order = np.argsort(frm, kind="stable")
+        frm, to, piece = frm[order], to[order], piece[order]
+        best += [-np.inf] * (hi - lo + longest + 1 - len(best))
+        back = [-1] * len(best)
+        for k, (a, b, g) in enumerate(zip((frm - lo).tolist(), (to - lo).tolist(), np.where(piece >= 0, v.scores[piece], poor).tolist())):
+            score = best[a] + g
+            if score > best[b]:
+                best[b], back[b] = score, k
+        back = np.array(back)
+        reached = np.flatnonzero(back >= 0)
+        came[lo + reached], by[lo + reached] = frm[back[reached]], piece[back[reached]]
+        best, lo = best[hi - lo :], hi
+    ends, cur = array("i"), n
+    while cur > 0:
+        ends.append(cur)
+        cur = int(came[cur])
+    to, out = np.frombuffer(ends, np.int32)[::-1], []
+    for a in range(0, len(to), SECTION):
+        some = to[a : a + SECTION]
+        out.append(_spelled(by[some], came[some].astype(np.int64), some.astype(np.int64), data, v)[0])
+    return np.concatenate(out)
+
+
+def viterbi(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words together, and where each word's begin (one more at the end)."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    lens = np.array([len(w) for w in words], np.int64)
+    stop = np.cumsum(lens)
+    start = stop - lens
+    n = len(data)
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    width = np.diff(np.append(at, n))  # bytes of each character; words end at characters' ends
+    limit = np.repeat(stop, lens)[at] if n else at
+    frm, to, piece = _edges(data, at, width, limit, v)
     gain = np.where(piece >= 0, v.scores[piece], v.scores.min() - PENALTY)
     word_start = np.repeat(start, lens) if n else start
     local = frm - word_start[frm] if len(frm) else frm
@@ -174,13 +231,9 @@ def viterbi(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         cur, first = cur[keep], first[keep]
     edge = back[np.flatnonzero(ends)]
     chosen, frm, to = piece[edge], frm[edge], to[edge]
-    count = np.where(chosen >= 0, 1, to - frm)
-    total = np.cumsum(count)
-    out = np.repeat(chosen, count)
-    byte_at = np.repeat(frm, count) + np.arange(len(out)) - np.repeat(total - count, count)
-    out = np.where(out >= 0, out, v.byte_ids[data[byte_at]]) if len(out) else out
+    out, count = _spelled(chosen, frm, to, data, v)
     per_word = np.bincount(word_of[frm], weights=count, minlength=len(words)).astype(np.int64) if len(frm) else np.zeros(len(words), np.int64)
-    return out.astype(np.int32), np.concatenate(([0], np.cumsum(per_word)))
+    return out, np.concatenate(([0], np.cumsum(per_word)))
 
 
 class Encoder:
@@ -201,39 +254,80 @@ class Encoder:
         self.ids = np.concatenate([self.ids[:at], self.v.byte_ids[list(MARK.encode())], self.ids[at:]])
         self.off[k + 1 :] += len(MARK.encode())
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts together, and where each text's begin (one more at the end)."""
-        words = [_WORD.findall(" " + t) if t else [] for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        flat = [x for w in words for x in w]
-        distinct = set(flat)
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words together, and their number for each."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        distinct = {w for w in words if len(w) <= LONG}
         if new := sorted(distinct.difference(self.known)):
             if len(self.known) + len(new) > MEMORY:
                 new = sorted(distinct)
                 self.known, self.ids, self.off = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
             for k in range(0, len(new), TOGETHER):
                 self._learn(new[k : k + TOGETHER])
-        k = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        first, count = self.off[k], self.off[k + 1] - self.off[k]
-        total = np.cumsum(count)
-        ids = self.ids[np.repeat(first - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
-        return ids, np.concatenate(([0], np.concatenate(([0], total))[np.cumsum(counts)])).astype(np.int64)
+        out, counts, at = [], [], 0
+        for i in [*long, len(words)]:
+            k = np.fromiter(map(self.known.__getitem__, words[at:i]), np.int64, i - at)
+            first, count = self.off[k], self.off[k + 1] - self.off[k]
+            total = np.cumsum(count)
+            out.append(self.ids[np.repeat(first - (total - count), count) + np.arange(total[-1] if len(total) else 0)])
+            counts.append(count)
+            if i < len(words):
+                out.append(viterbi_long(words[i].encode("utf-8", "surrogatepass"), self.v))
+                counts.append([len(out[-1])])
+            at = i + 1
+        return np.concatenate(out), np.concatenate(counts)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and where each text's begin (one more at the end)."""
+        out, per_text = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
+        for words, owner in _sections(texts):
+            ids, count = self._cut(words)
+            out.append(ids)
+            per_text += np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+        return np.concatenate(out), np.concatenate(([0], np.cumsum(per_text)))
+
+
+def _sections(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The words of all texts in order, some at a time, and the text of each."""
+    words, owner = [], []
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        found = _WORD.finditer(" " + t) if len(t) > SECTION else None
+        while new := [m[0] for m in islice(found, SECTION)] if found else _WORD.findall(" " + t):
+            words += new
+            owner.append((i, len(new)))
+            if len(words) >= SECTION:
+                yield words, np.repeat(*map(np.array, zip(*owner)))
+                words, owner = [], []
+            if found is None:
+                break
+    if words:
+        yield words, np.repeat(*map(np.array, zip(*owner)))
 
 
 def decode_ids(ids: np.ndarray, off: np.ndarray, v: Vocabulary) -> list[str]:
     """Texts of id lists; an incomplete byte sequence becomes U+FFFD."""
     lens = np.array([len(p) for p in v.pieces], np.int64)
     store, starts = np.frombuffer(b"".join(v.pieces), np.uint8), np.cumsum(lens) - lens
-    count = lens[ids]
-    total = np.cumsum(count)
-    raw = store[np.repeat(starts[ids] - (total - count), count) + np.arange(total[-1] if len(total) else 0)].tobytes()
-    ends = np.concatenate(([0], total))[off]
+    parts = []
+    for a in range(0, len(ids), SECTION):
+        some = ids[a : a + SECTION]
+        count = lens[some]
+        total = np.cumsum(count)
+        parts.append(store[np.repeat(starts[some] - (total - count), count) + np.arange(total[-1])].tobytes())
+    raw = b"".join(parts)
+    ends = np.concatenate(([0], np.cumsum(lens[ids])))[off]
     return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends[:-1], ends[1:])]
 
 
 def encode(docs: DataFrame, v: Vocabulary, *, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with the ids of each whole text (a column named `out` is replaced). Null or empty text: no
-    ids. Equal texts give equal ids; extra columns stay; empty table: empty result."""
+    """docs with the ids of each whole text (a column named `out` is replaced).
+
+    - null or empty text: no ids. Equal texts, so also repeated rows and ids, give equal ids
+    - ties between cuts: the one whose last piece begins earliest, and so on backwards
+    - very long texts and words: encoded whole, with memory of some bytes for each of the text's
+    - extra columns stay; empty table: empty result"""
     docs = docs.drop(out)
     given = docs.sparkSession.sparkContext.broadcast(v)
     names = [*docs.columns, out]

@@ -1,6 +1,9 @@
 """Viterbi against a plain dynamic programme, and exact round trips."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +12,9 @@ from freightlens.llm import pieces
 from freightlens.llm.queries import TOKENIZER
 
 
+ROOT = Path(__file__).parents[2]
+
+
 def toy(seed=0):
     rng = random.Random(seed)
     names = ["<unk>", *[f"<0x{b:02X}>" for b in range(256)]]
@@ -89,3 +95,33 @@ def test_bad_vocabularies():
         pieces.vocabulary(["a▁b"], [0.0], list(range(256)))
     with pytest.raises(ValueError):
         pieces.vocabulary(["a"], [0.0], [])
+
+
+@pytest.mark.parametrize("window", [7, 64, 1 << 15])
+def test_windows_of_long_words(monkeypatch, window):
+    v, rng = toy(1), random.Random(1)
+    texts = ["".join(rng.choice("aabbcdé漢\t𝔘") for _ in range(n)) + tail for n in (1, 5, 30, 200, 2000) for tail in ("", " and more", "\n")]
+    whole = pieces.Encoder(v).encode(texts)
+    monkeypatch.setattr(pieces, "LONG", 3)
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    monkeypatch.setattr(pieces, "SECTION", 10)
+    cut = pieces.Encoder(v).encode(texts)
+    assert cut[0].tolist() == whole[0].tolist() and cut[1].tolist() == whole[1].tolist()
+    assert pieces.decode_ids(*cut, v) == texts
+
+
+def test_memory_of_a_very_long_word():
+    """4 MB without a blank, in a process of its own."""
+    code = """
+import base64, random, resource, sys
+from freightlens.llm import pieces
+from freightlens.llm.queries import TOKENIZER
+v = pieces.from_model(TOKENIZER)
+text = base64.b64encode(random.Random(1).randbytes(3_000_000)).decode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids, off = pieces.Encoder(v).encode([text])
+assert pieces.decode_ids(ids, off, v) == [text]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
+    assert float(out.stdout.split()[-1]) < 250
