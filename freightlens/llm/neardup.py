@@ -1,11 +1,13 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells.
 
-Equal vectors become one first. Each vector is stored in the cell of its nearest centre and sent as a
-probe to that cell and to those whose border is near: a border is nearer than `reach` times the chord
-of the threshold. (With reach 1 no link can be missed, at the cost of comparing nearly all cells in
-many dimensions; differences between near vectors rarely point straight at a border, and at 0.25 the
-recall measured against brute force is 1.0 here.) Cells grow in number with the vectors, so a cell's
-size does not; a cell that is large all the same is split in blocks.
+Equal vectors become one first. Spherical k-means is fitted on a bounded sample, and each vector is stored in the
+cell of its nearest centre. It is sent as a probe to that cell and to those whose border is near: nearer than
+`reach` times the chord of the threshold. With reach 1 no link can be missed, whatever the vectors. In d dimensions
+the difference of two near vectors has about 1/sqrt(d) of its length across any one border, and a pair is missed only
+if it crosses the border by more than twice the reach, so the usual reach is SPREAD / sqrt(d).
+
+Cells grow in number with the vectors, so that a cell's size does not: beyond MAX_CENTRES cells a second set of
+centres, fitted with another seed, divides each cell of the first. A cell that is large all the same is split in blocks.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, hashed_share, materialize
 from .components import components
 
 #: The most vectors that the centres are fitted on; every vector is indexed.
 MAX_FIT = 50_000
-PER_CELL, MAX_CELLS = 1000, 4096
+#: Vectors of a cell, about, and the most centres of each of the two sets: room for a thousand million vectors.
+PER_CELL, MAX_CENTRES = 1000, 1024
 #: Stored vectors and probes that meet in one task.
 BLOCK, PROBES = 2048, 16384
-REACH = 0.25
+SPREAD = 0.8
+#: Cells of vectors that have another length than most.
+OTHERS = 64
 
 
 def usable(v: Column) -> Column:
@@ -44,44 +49,55 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _centres(vectors: DataFrame, n: int, seed: int) -> np.ndarray | None:
-    k = min(MAX_CELLS, math.ceil(n / PER_CELL))
-    if k < 3:
-        return None
-    part = F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(min(1.0, MAX_FIT / n) * 1_000_000)
-    sample = vectors.filter(part).select(array_to_vector(F.col("v").cast("array<double>")).alias("features")).persist()
-    model = KMeans(k=k, maxIter=5, seed=seed, distanceMeasure="cosine", initMode="random").fit(sample)
-    sample.unpersist()
-    c = np.array(model.clusterCenters())
-    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-
-
-def _cells(vectors: DataFrame, centres: np.ndarray | None, dim: int, threshold: float, reach: float) -> DataFrame:
-    """h, v, own (cell) and near (cells to probe, own among them)."""
+def _centres(vectors: DataFrame, n: int, seed: int) -> list[np.ndarray]:
+    """Two sets of unit centres from a sample of the n vectors; the second has one centre while the first is enough."""
+    k = min(n, max(2, math.ceil(n / PER_CELL)))
+    first = min(k, MAX_CENTRES)
+    out = [np.zeros((1, 1)), np.zeros((1, 1))]
+    if first < 2:
+        return out
+    sample = materialize(vectors.filter(hashed_share(F.col("h"), MAX_FIT, n)).select(array_to_vector(F.col("v").cast("array<double>")).alias("features")))
+    for i, size in enumerate((first, min(MAX_CENTRES, math.ceil(k / first)))):
+        if size > 1:
+            c = np.array(KMeans(k=size, maxIter=5, seed=seed + i, distanceMeasure="cosine", initMode="random").fit(sample).clusterCenters())
+            out[i] = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    discard(sample)
+    return out
+
+
+def _near(x: np.ndarray, c: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row of x, and which centres' cells have their border within `limit` of it."""
+    if len(c) < 2:
+        return np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
+    gap = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12))
+    dot, rows = x @ c.T, np.arange(len(x))
+    best = dot.argmax(axis=1)
+    to = (dot[rows, best][:, None] - dot) <= limit * gap[best]
+    to[rows, best] = True
+    return best, to
+
+
+def _cells(vectors: DataFrame, centres: list[np.ndarray], dim: int, threshold: float, reach: float) -> DataFrame:
+    """h, v, copies, own (cell) and near (cells to probe, own among them)."""
     given = vectors.sparkSession.sparkContext.broadcast(centres)
     limit = reach * math.sqrt(2 - 2 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = given.value
-        if c is not None:
-            gap = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12))
         for b in batches:
             lens = np.diff(b.column("v").offsets.to_numpy())
-            own, near = (-lens).astype(np.int32), [[-int(n)] for n in lens]
+            own = -1 - lens.astype(np.int64) % OTHERS
+            near = [[int(x)] for x in own]
             here = np.flatnonzero(lens == dim)
-            if c is not None and len(here):
-                x = _matrix(b.column("v").take(pa.array(here)))
-                dot = x @ c.T
-                best = dot.argmax(axis=1)
-                to = (dot[np.arange(len(x)), best][:, None] - dot) <= limit * gap[best]
-                to[np.arange(len(x)), best] = True
-                own[here] = best
-                for i, row in zip(here, to):
-                    near[i] = np.flatnonzero(row).tolist()
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("v"), pa.array(own), pa.array(near, pa.list_(pa.int32()))], names=["h", "v", "own", "near"])
+            if len(here):
+                x, width = _matrix(b.column("v").take(pa.array(here))), len(given.value[1])
+                (first, some), (second, more) = (_near(x, c, limit) for c in given.value)
+                own[here] = first * width + second
+                for i, f, s in zip(here, some, more):
+                    near[i] = (np.flatnonzero(f)[:, None] * width + np.flatnonzero(s)).ravel().tolist()
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("v"), b.column("copies"), pa.array(own.astype(np.int32)), pa.array(near, pa.list_(pa.int32()))], names=["h", "v", "copies", "own", "near"])
 
     kind = vectors.schema["v"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"h long, v {kind}, own int, near array<int>")
+    return vectors.select("h", "v", "copies").mapInArrow(run, f"h long, v {kind}, copies long, own int, near array<int>")
 
 
 def _compared(tasks: DataFrame, threshold: float) -> DataFrame:
@@ -143,14 +159,16 @@ def _compared(tasks: DataFrame, threshold: float) -> DataFrame:
     return tasks.mapInArrow(run, "a long, b long, n long")
 
 
-def dedup(vectors: DataFrame, *, vec_id="vec_id", vector="embedding", threshold: float = 0.9, reach: float = REACH, seed: int = 11) -> DataFrame:
+def dedup(vectors: DataFrame, *, vec_id="vec_id", vector="embedding", threshold: float = 0.9, reach: float | None = None, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors.
 
     - unusable vectors (null, empty, zero, null or non-finite components): no links, kept
     - vectors of different lengths never link; repeated rows link with each other as equal vectors do
     - component_id: the smallest vec_id that links reach; kept where it is the row's own (so a null id is
       kept only where its component has no other)
-    - ties between centres: the first centre. Empty table: empty result. Other columns are not read.
+    - reach: None for the usual one, by the vectors' length; 1 misses no link, at the cost of many more probes
+    - very long vectors are like others; ties between centres: the first centre
+    - empty table: empty result. Other columns are not read, whatever their names
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
@@ -158,17 +176,19 @@ def dedup(vectors: DataFrame, *, vec_id="vec_id", vector="embedding", threshold:
     distinct = materialize(keyed.filter("h is not null").groupBy("h").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")))
     dims = distinct.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim, n = (dims["d"], dims["count"]) if dims else (0, 0)
-    centres = _centres(distinct.filter(F.size("v") == dim), n, seed) if dims else None
-    cells = materialize(_cells(distinct.select("h", "v"), centres, dim, threshold, reach).join(distinct.select("h", "copies"), "h"))
+    centres = _centres(distinct.filter(F.size("v") == dim), n, seed) if dims else [np.zeros((1, 1))] * 2
+    cells = materialize(_cells(distinct, centres, dim, threshold, min(1.0, SPREAD / math.sqrt(max(1, dim))) if reach is None else reach))
     sizes = cells.groupBy(F.col("own").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_nb"))
     coming = cells.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("_np"))
-    shape = F.broadcast(sizes.join(coming, "cell"))  # one row a cell, MAX_CELLS and one per other length at most
+    # One row a cell: MAX_CENTRES**2 + OTHERS at most, of three numbers.
+    shape = F.broadcast(materialize(sizes.join(coming, "cell")))
     block, probe = F.pmod("h", F.col("_nb")).cast("int"), F.pmod("h", F.col("_np")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["h", "v", "own", "near", "copies"]
-    stored = cells.withColumn("cell", F.col("own")).join(shape, "cell").select(*kept, "cell", block.alias("_b"), each("_np").alias("_p"), F.lit(False).alias("probe"))
-    probes = cells.withColumn("cell", F.explode("near")).join(shape, "cell").select(*kept, "cell", probe.alias("_p"), each("_nb").alias("_b"), F.lit(True).alias("probe"))
-    tasks = stored.unionByName(probes).withColumn("task", F.xxhash64("cell", "_b", "_p")).drop("cell", "_b", "_p")
+    kept = ["h", "v", "own", "copies"]
+    stored = cells.withColumn("cell", F.col("own")).join(shape, "cell").select(*kept, "near", "cell", block.alias("_b"), each("_np").alias("_p"), F.lit(False).alias("probe"))
+    probes = cells.withColumn("cell", F.explode("near")).join(shape, "cell").select(*kept, F.lit(None).cast("array<int>").alias("near"), "cell", probe.alias("_p"), each("_nb").alias("_b"), F.lit(True).alias("probe"))
+    # Vectors of one length meet in a task, also where a cell holds several lengths.
+    tasks = stored.unionByName(probes).withColumn("task", F.xxhash64("cell", "_b", "_p", F.size("v"))).drop("cell", "_b", "_p")
     tasks = tasks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "probe")
     found = materialize(_compared(tasks, threshold))
     counts = found.filter("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("_n"))
