@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import secrets, sharding
 
-_U = "(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+_U = "(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
 
 
 def _level(by: str, size: str, weight: str, total: str) -> str:
@@ -25,11 +25,11 @@ l AS (SELECT *, share / csize AS copies FROM ({_level("source", "csize", "cweigh
 p AS (SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p, sum((copies - floor(copies)) * csize) OVER (PARTITION BY source) AS left_, sum(CASE WHEN copies > floor(copies) THEN csize END) OVER (PARTITION BY source) AS open_ FROM l),
 q AS (SELECT *, CASE WHEN p > 0 AND left_ / open_ < 1 THEN (p / (1 - p)) / ((left_ / open_) / (1 - left_ / open_)) END AS by_ FROM p),
 r AS (SELECT k.*, left_, (odds / by_) / (1.0 + odds / by_) AS rank_ FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source AND k.class = q.class WHERE by_ IS NOT NULL AND size > 0),
-units AS (SELECT source, rank_, doc_id, sum(size) AS n, max(left_) AS left_ FROM r GROUP BY source, rank_, doc_id),
-chosen AS (SELECT source, doc_id, rank_ FROM (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank_, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM units) WHERE 2 * upto - n <= 2 * left_)
+units AS (SELECT source, rank_, doc_id, u, sum(size) AS n, max(left_) AS left_ FROM r GROUP BY source, rank_, doc_id, u),
+chosen AS (SELECT source, doc_id, u, rank_ FROM (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank_, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM units) WHERE 2 * upto - n <= 2 * left_)
 SELECT k.doc_id, k.size, c.source_size, c.target, CAST(k.size * (coalesce(q.whole, 0) + CASE WHEN chosen.rank_ IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.class = c.class LEFT JOIN q ON k.source IS NOT DISTINCT FROM q.source AND k.class = q.class
-LEFT JOIN chosen ON chosen.source IS NOT DISTINCT FROM k.source AND chosen.doc_id IS NOT DISTINCT FROM k.doc_id AND k.size > 0 AND by_ IS NOT NULL"""
+LEFT JOIN chosen ON chosen.source IS NOT DISTINCT FROM k.source AND chosen.doc_id IS NOT DISTINCT FROM k.doc_id AND chosen.u = k.u AND k.size > 0 AND by_ IS NOT NULL"""
 
 _N, _M = len(sharding.SHARDS), sharding.TABLE_SIZE
 SHARDING = f"""WITH RECURSIVE shards AS (SELECT s, 'shard-' || lpad(CAST(s AS VARCHAR), 2, '0') AS name FROM range({_N}) t(s)),

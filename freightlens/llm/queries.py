@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, extraction, langid, matroska, mixing, neardup, ngram_join, oracles, pieces, secrets, sharding
-from .common import load
+from .common import load, materialize
 
 #: A SentencePiece model with byte pieces; any other can be given.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,7 +18,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # Texts are read once: what mixing has to know of them is a narrow table.
+    rows = materialize(mixing.measured(load(spark, sf_dir, "documents"), keep=["doc_id"]))
+    mixed = mixing.mix_measured(rows)
     return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
@@ -73,8 +75,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    trees = extraction.fit(spark)
-    out = extraction.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"), trees)
+    out = extraction.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"), extraction.fit(spark))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 

@@ -64,6 +64,32 @@ def test_odd_rows(spark):
     rows = [(None, "one two", "a", "x", 1)] * 5 + [(7, "one\x0btwo three", "a", "x", 1)] * 2 + [(8, "x " * 50_000, None, "x", 1)]
     out = mix(spark, rows, columns)
     assert len(out) == 8 and sorted({r["_size"] for r in out}) == [2, 50_000]
-    assert len({r["_copies"] for r in out if r["doc_id"] is None}) == 1
     assert all(r["_copies"] <= 3 for r in out)
     assert "x" not in {r["target"] for r in out}
+
+
+def test_equal_rows_and_missing_ids_are_drawn_apart(spark):
+    """Sources of null ids, of one id and of one and the same row come near their targets like others."""
+    rows = [(None, f"w{i} " * (1 + i % 90), "a") for i in range(400)] + [(7, f"w{i} " * (1 + i % 90), "b") for i in range(400)]
+    rows += [(9, "same words here", "c")] * 3000 + [(i, "x " * 40, "d") for i in range(1000, 1700)] + [(None, "y", "e")]
+    out = mix(spark, rows)
+    assert len(out) == len(rows) and all(0 <= r["_copies"] <= 3 for r in out)
+    for s, room in (("a", 45), ("b", 45), ("c", 3 * 4 * 28), ("d", 20), ("e", 1)):
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["_copies"] * r["_size"] for r in mine) - mine[0]["target"]) <= room, s
+    assert len({r["_copies"] for r in out if r["source"] == "c"}) == 2
+    assert sorted((str(r["doc_id"]), r["text"], r["_copies"]) for r in mix(spark, rows)) == sorted((str(r["doc_id"]), r["text"], r["_copies"]) for r in out)
+
+
+def test_many_sources(spark):
+    """A source for each document: shares by the same rule, numbered over several ranges."""
+    rows = [(i, "w " * (1 + i * 7919 % 97), f"http://{i * 31 % 5003}") for i in range(3000)]
+    out = mix(spark, rows)
+    want = shares({r["source"]: r["_size"] for r in out})
+    assert all(abs(r["target"] - want[r["source"]]) <= 1e-9 * want[r["source"]] for r in out)
+
+
+def test_user_columns_survive(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 5, 6)], "doc_id long, text string, source string, _id int, _odds int")
+    row = mixing.mix(df).first()
+    assert (row["_id"], row["_odds"], row["_size"]) == (5, 6, 2)
