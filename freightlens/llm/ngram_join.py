@@ -7,7 +7,8 @@
    under a token are in the group of that hub.
 3. Hubs are verified with their members first; that joins most copies into components.
 4. In each group and range of sizes a prefix tree over the members' ordered lists finds the pairs of different components
-   that may still link (`trie.candidates`); large groups are split in blocks, met pairwise by tasks.
+   that may still link (`trie.candidates`). A large group is split in blocks that meet pairwise, each meeting being
+   a cell for one task; of its largest component, the blocks meet those of the other members and not each other.
    What leaves a task is not the pairs but the members that have one.
 5. These members' whole texts are sent to the same tasks, which walk the tree again and verify each pair
    whose ends are still apart. A task writes fewer links than it has members.
@@ -33,6 +34,8 @@ from .shingles import HEAT_BITS, mix, ordered, shingles
 
 #: Members of a group that one task compares with as many others.
 BLOCK = 1024
+#: Parts that the nodes of one component are dealt over where they meet their component's least id.
+SALTS = 16
 #: Pairs of members that a task looks at together.
 PAIRS = 1_000_000
 #: Bits of the map that keeps texts no candidate needs out of the shuffle; a full map only stops saving.
@@ -177,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _walk(cell: np.ndarray, size: np.ndarray, plen: np.ndarray, last: np.ndarray, comp: np.ndarray, lists: list, places: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _walk(cell: np.ndarray, size: np.ndarray, plen: np.ndarray, last: np.ndarray, side: np.ndarray, lists: list, places: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates of a run of cells, some cells at a time so that their pairs fit in memory."""
     edges = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
     at = 0
@@ -187,7 +190,7 @@ def _walk(cell: np.ndarray, size: np.ndarray, plen: np.ndarray, last: np.ndarray
             pairs += (edges[to + 1] - edges[to]) ** 2
             to += 1
         lo, hi = edges[at], edges[to]
-        i, j = trie.candidates(cell[lo:hi], size[lo:hi], plen[lo:hi], last[lo:hi], comp[lo:hi], lists[lo:hi], places[lo:hi], percent)
+        i, j = trie.candidates(cell[lo:hi], size[lo:hi], plen[lo:hi], last[lo:hi], side[lo:hi], lists[lo:hi], places[lo:hi], percent)
         yield i + lo, j + lo
         at = to
 
@@ -212,30 +215,30 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Ta
 
 
 def _near(members: DataFrame, percent: int) -> DataFrame:
-    """members: cell, node, n, plen, last, comp, tokens and their places, by cell. The (cell, node)
-    that have a candidate in their cell."""
+    """members: cell, node, n, plen, last, side, tokens and their places, by cell. The (cell, node)
+    that have a candidate of another side in their cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_cells(batches, 4096):
-            col = {c: t.column(c).to_numpy() for c in ("cell", "node", "n", "plen", "last", "comp")}
+            col = {c: t.column(c).to_numpy() for c in ("cell", "node", "n", "plen", "last", "side")}
             tokens, places = (t.column(c).combine_chunks() for c in ("tokens", "places"))
             off = tokens.offsets.to_numpy()
             token, place = tokens.values.to_numpy(), places.values.to_numpy().astype(np.int64)
             cut = [slice(a, b) for a, b in zip(off[:-1], off[1:])]
             hit = np.zeros(t.num_rows, bool)
-            for i, j in _walk(*(col[c] for c in ("cell", "n", "plen", "last", "comp")), [token[s] for s in cut], [place[s] for s in cut], percent):
+            for i, j in _walk(*(col[c] for c in ("cell", "n", "plen", "last", "side")), [token[s] for s in cut], [place[s] for s in cut], percent):
                 hit[i] = hit[j] = True
             yield pa.RecordBatch.from_pydict({"cell": col["cell"][hit], "node": col["node"][hit]})
 
-    return members.select("cell", "node", "n", "plen", "last", "comp", "tokens", "places").mapInArrow(run, "cell long, node long")
+    return members.select("cell", "node", "n", "plen", "last", "side", "tokens", "places").mapInArrow(run, "cell long, node long")
 
 
 def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> DataFrame:
-    """members: cell, node, comp, text, by cell. Links (a, b) enough to join what links within the cells."""
+    """members: cell, node, comp, side, text, by cell. Links (a, b) enough to join what links across the sides of a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_cells(batches, 512):
-            cell, node, comp = (t.column(c).to_numpy() for c in ("cell", "node", "comp"))
+            cell, node, comp, side = (t.column(c).to_numpy() for c in ("cell", "node", "comp", "side"))
             whole = [ordered(g, heat.value).astype(np.int64) for _, g in shingles(t.column("text").to_pylist(), width)]
             size = np.array([len(w) for w in whole], np.int64)
             plen = size + percent * -size // 100 + 1
@@ -247,7 +250,7 @@ def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> Da
             lists, spots = [k[m] for k, m in zip(known, twice)], [x[m] for x, m in zip(spots, twice)]
             last = np.array([k[-1] for k in known])
             out = []
-            for i, j in _walk(cell, size, plen, last, comp, lists, spots, percent):
+            for i, j in _walk(cell, size, plen, last, side, lists, spots, percent):
                 up: dict[tuple, tuple] = {}
 
                 def root(x: tuple) -> tuple:
@@ -267,7 +270,40 @@ def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> Da
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.select("cell", "node", "comp", "text").mapInArrow(run, "a long, b long")
+    return members.select("cell", "node", "comp", "side", "text").mapInArrow(run, "a long, b long")
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """members: hub, _k, node, comp, _own. cell, node, comp and side for every cell that a member is in: pairs of one
+    side need no comparison there. Groups of one component, or without a member of their own bucket, are done.
+
+    A group of R members beside its largest component of D has R * (R + D) / BLOCK members in its cells, not (R + D) ** 2 / BLOCK."""
+    each = members.groupBy("hub", "_k", "comp").agg(F.count("*").alias("_n"), F.max("_own").alias("_top"))
+    found = each.groupBy("hub", "_k").agg(F.sum("_n").alias("_m"), F.max("_n").alias("_d"), F.max_by("comp", F.struct("_n", "comp")).alias("_dom"), F.count("*").alias("_comps"), F.max("_top").alias("_top"))
+    found = found.filter("_comps > 1 and _top = _k")
+    apart = (F.col("_m") > BLOCK) & (2 * F.col("_d") >= F.col("_m"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    found = found.select("hub", "_k", F.when(apart, F.col("_dom")).alias("_dom"), blocks(F.when(apart, F.col("_m") - F.col("_d")).otherwise(F.col("_m"))).alias("_nr"), blocks(F.when(apart, F.col("_d")).otherwise(0)).alias("_nd"))
+    rows = members.join(found, ["hub", "_k"])
+    inside = F.coalesce(F.col("comp") == F.col("_dom"), F.lit(False))
+    rows = rows.withColumn("_in", inside).withColumn("_b", F.pmod(F.xxhash64("node"), F.when(F.col("_in"), F.col("_nd")).otherwise(F.col("_nr"))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda kind, x, y, side: F.struct(F.xxhash64("hub", "_k", F.lit(kind), x, y).alias("cell"), side.cast("bigint").alias("side"))
+    among = F.transform(upto(F.col("_nr")), lambda j: cell(0, F.least(F.col("_b"), j), F.greatest(F.col("_b"), j), F.col("comp")))
+    across = F.transform(upto(F.col("_nd")), lambda j: cell(1, F.col("_b"), j, F.lit(0)))
+    back = F.transform(upto(F.col("_nr")), lambda j: cell(1, j, F.col("_b"), F.lit(1)))
+    return rows.select("node", "comp", F.explode(F.when(F.col("_in"), back).otherwise(F.concat(among, across))).alias("_c")).select("_c.cell", "node", "comp", "_c.side")
+
+
+def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root and component_id of every node. Only nodes with links are joined by root; a large component is dealt over SALTS keys."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt")
+    linked = roots.join(nodes.select("node", "doc_id"), "node").select("node", "root", "doc_id", salt)
+    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    found = linked.join(least, ["root", "_salt"]).select("node", "root", "component_id")
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return nodes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), component)
 
 
 def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, percent: int = 85, with_root: bool = False) -> DataFrame:
@@ -314,13 +350,7 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     bucket = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
     members = group.join(size, "node").join(roots, "node", "left").select("hub", "node", comp.alias("comp"), bucket.alias("_own"))
     members = materialize(members.select("*", F.explode(F.array("_own", F.col("_own") + 1)).alias("_k")))
-    # Cells within one component, or without a member of their own bucket, are done; large ones are split
-    # in blocks that meet pairwise.
-    found = members.groupBy("hub", "_k").agg(F.count("*").alias("_m"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("_own").alias("_top"))
-    found = found.filter("_lo < _hi and _top = _k").select("hub", "_k", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_nb"))
-    cells = members.join(found, ["hub", "_k"]).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
-    cells = cells.select("node", "comp", "hub", "_k", "_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_j"))
-    cells = cells.select("node", "comp", F.xxhash64("hub", "_k", F.least("_b", "_j"), F.greatest("_b", "_j")).alias("cell"))
+    cells = _meetings(members)
     cells = materialize(cells)
     discard(members, group)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -335,9 +365,7 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id", *(["root"] if with_root else []))
+    of_node = _named(nodes, roots).select("node", "component_id", *(["root"] if with_root else []))
     out = sets.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
     return out.select("doc_id", "rk", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *(["root"] if with_root else []))
 

@@ -58,3 +58,51 @@ SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text
 spans AS (SELECT * FROM ({" UNION ALL ".join(_spans(k, r) for k, r in enumerate(secrets.RULES))}) WHERE length(value) >= CASE kind {_LEAST} END)
 SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, name in enumerate(secrets.BASE))}, sha256({_joined(f"kind < {len(secrets.BASE)}")}) AS base_sha256, {_joined("kind IS NOT NULL")} AS spans
 FROM d LEFT JOIN spans ON spans.row = d.k GROUP BY d.k"""
+
+
+def _components(nodes: str, links: str) -> str:
+    """Nodes (k, id) and links (a, b) to reach (k, component_id)."""
+    return f"""ends AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+reach AS (SELECT k, k AS other FROM {nodes} UNION SELECT reach.k, ends.b FROM reach JOIN ends ON ends.a = reach.other),
+component AS (SELECT reach.k, min(n.id) AS component_id FROM reach JOIN {nodes} n ON n.k = reach.other GROUP BY reach.k)"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NGRAM_JOIN = f"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT row_number() OVER () AS row, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4
+    THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+nodes AS (SELECT row_number() OVER () AS k, s, min(doc_id) AS id FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS (SELECT k, len(s) AS n, unnest(s) AS g FROM nodes),
+links AS (
+  SELECT x.k AS a, y.k AS b FROM grams x JOIN grams y ON x.g = y.g AND x.k < y.k
+  GROUP BY x.k, y.k, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+{_components("nodes", "links")}
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN component USING (k)"""
+
+EMBEDDINGS = f"""WITH RECURSIVE rows_ AS (
+  SELECT row_number() OVER () AS k, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+usable AS (
+  SELECT * FROM rows_ WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT x.k AS a, y.k AS b FROM usable x JOIN usable y ON x.k < y.k AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.9),
+{_components("rows_", "links")},
+degree AS (SELECT a AS k, count(*) AS n FROM ends GROUP BY a)
+SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, id = component_id AS kept
+FROM rows_ LEFT JOIN component USING (k) LEFT JOIN degree USING (k)"""
+
+CHAT = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, FALSE AS added FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', TRUE UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', TRUE),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|<<SYS>>|<</SYS>>|\[/?INST\]|\[ROLE|\[/ROLE\]'))
+    + CASE role WHEN 'system' THEN 8 + 10 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 5
+      ELSE 6 + length(role) + len(regexp_extract_all(role, '[\\[\]<>\s]')) + 2 + 8 END AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id, added"""

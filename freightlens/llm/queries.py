@@ -90,4 +90,11 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op9_main_text, op10_chat_round_trip)}
 
 #: The others have no SQL form: their tests hold them against brute force, round trips or held-out rows.
-ORACLES = {"op1_pareto_mix": oracles.MIX, "op5_lookup_sharding": oracles.SHARDING, "op6_secret_scan": oracles.SECRETS}
+ORACLES = {
+    "op1_pareto_mix": oracles.MIX,
+    "op3_ngram_join": oracles.NGRAM_JOIN,
+    "op5_lookup_sharding": oracles.SHARDING,
+    "op6_secret_scan": oracles.SECRETS,
+    "op7_embedding_neardup": oracles.EMBEDDINGS,
+    "op10_chat_round_trip": oracles.CHAT,
+}
