@@ -50,14 +50,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `materialize` wrote and that no later step reads."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            if jpath.getName().startswith("step-"):
-                jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            if path.rpartition("/")[2].startswith("step-"):
+                remove(spark, path)
 
 
 def hashed_share(key: Column, most: int, n: int) -> Column:

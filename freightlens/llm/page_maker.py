@@ -28,6 +28,7 @@ class Maker:
         self.r = random.Random(seed)
         self.junk = self.r.random() < 0.15
         self.upper = self.r.random() < 0.08
+        self.bare = self.r.random() < 0.06  # the article stands straight below the body
 
     def words(self, n: int) -> str:
         r, out, left = self.r, [], 0
@@ -93,6 +94,8 @@ class Maker:
         if r.random() < 0.15:
             parts.append(self.part("footer"))
         body, style = "".join(parts), r.random()
+        if self.bare:
+            return body if r.random() < 0.7 else self.inline(self.words(self.some())) + body
         if style < 0.35:
             return f'<article data-label="1"{self.name("main", 0.3)}>{body}</article>'
         if style < 0.55:
@@ -146,4 +149,9 @@ class Maker:
         middle = middle + "".join(map(self.part, inner))
         if inner or r.random() < 0.3:
             middle = f"<div{self.name('plain', 0.7)}>{middle}</div>"
-        return f"<html><head><title>{self.words(4)}</title></head><body>" + "".join(map(self.part, before)) + middle + "".join(map(self.part, after[len(inner) :])) + r.choice(("</body></html>", ""))
+        head, foot = "".join(map(self.part, before)), "".join(map(self.part, after[len(inner) :]))
+        if not self.bare:  # notices and adverts may stand straight below the body, too
+            head = self.inline(self.words(r.randint(2, 20))) + head if r.random() < 0.06 else head
+            foot += r.choice(("&copy; ", "")) + self.inline(self.words(r.randint(2, 20))) if r.random() < 0.1 else ""
+        body = ' data-label="1"' if self.bare and middle else ""
+        return f"<html><head><title>{self.words(4)}</title></head><body{body}>{head}{middle}{foot}" + r.choice(("</body></html>", ""))

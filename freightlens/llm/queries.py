@@ -75,7 +75,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    out = extraction.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"), extraction.fit(spark))
+    out = extraction.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"), extraction.trees(spark))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
