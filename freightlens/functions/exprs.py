@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column
@@ -36,6 +38,16 @@ def quarter_bounds(year: int, quarter: int) -> tuple[date, date]:
     return date(year, month, 1), date(year + quarter // 4, month % 12 + 3 if quarter < 4 else 1, 1)
 
 
+def in_quarters(ts: Column, quarters: Iterable[int]) -> Column:
+    """Timestamps of any of the quarters (long periods): half-open ranges, one for quarters that follow each other,
+    so that a scan can skip what is outside."""
+    spans: list[tuple[date, date]] = []
+    for a, b in sorted(quarter_bounds(*divmod(q, 100)) for q in quarters):
+        spans = [*spans[:-1], (spans[-1][0], b)] if spans and spans[-1][1] == a else [*spans, (a, b)]
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    return functools.reduce(lambda x, y: x | y, [(ts >= at(a)) & (ts < at(b)) for a, b in spans], F.lit(False))
+
+
 def stream_key() -> Column:
     """md5 of the attributes joined by bars; a missing one counts as empty."""
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(a), F.lit("")) for a in STREAM_ATTRIBUTES]))

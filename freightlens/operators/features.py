@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import CHANGE, change_label, lag_ratio, lag_sum, short_period
 from ..sources.shipments import Shipments
+from ..sources.tables import written
 from .graph import numbered
 from .topn import among, top_n
 
@@ -36,10 +37,12 @@ def _labelled(df: DataFrame, value: str, lags: int, threshold: float) -> DataFra
 
 def simple_view(s: Shipments, codes: int = 25, facilities: int = 100, generators: int = 50, lags: int = 4, threshold: float = CHANGE) -> DataFrame:
     """By facility, waste code and quarter. The three top lists are cut on all base lines."""
-    base = base_lines(s).persist()
+    base = written(base_lines(s))
+    # Sums by all three keys at once are far fewer than lines, and the lists are cut on them.
+    sums = written(base.groupBy("waste_code", "facility", "generator").agg(F.sum("tons").alias("tons")))
     rows = base
     for key, n in (("waste_code", codes), ("facility", facilities), ("generator", generators)):
-        rows = among(rows, top_n(base, key, F.sum("tons"), n, "_tons"), key)
+        rows = among(rows, top_n(sums, key, F.sum("tons"), n, "_tons"), key)
     agg = rows.groupBy("year_quarter", "quarter_start", "facility", "waste_code").agg(
         F.count(F.lit(1)).alias("waste_line_row_count"), F.countDistinct("mtn").alias("manifest_count"), F.countDistinct("generator").alias("generator_count"),
         F.sum("tons").alias("qty_tons"), F.avg("tons").alias("avg_line_qty_tons"), F.stddev_samp("tons").alias("std_line_qty_tons"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import STREAM_ATTRIBUTES, UNKNOWN_WASTE, blank_to_null, long_period, stream_key
 from ..sources.shipments import Shipments
+from ..sources.tables import written
 from .topn import among, top_n
 
 START = date(2018, 1, 1)
@@ -41,7 +42,7 @@ def nodes(s: Shipments, start: date | None = START) -> DataFrame:
 def numbered(df: DataFrame, keys: list[str], name: str, first: int = 1) -> DataFrame:
     """df with ids in order of its natural key, without a single-task window: rows are counted per range
     of keys, and the counts (one per partition) set each range's first id."""
-    spread = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    spread = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
@@ -49,6 +50,15 @@ def numbered(df: DataFrame, keys: list[str], name: str, first: int = 1) -> DataF
     return out.withColumn(name, F.col("_before") + F.col("_rank") + F.lit(first - 1)).drop("_part", "_rank", "_before")
 
 
+def edges_with_ids(edges: DataFrame, named: DataFrame, ends: dict[str, str]) -> DataFrame:
+    """edges with <end>_node_id for each end (column: node type), looked up among nodes that have graph_node_id;
+    edges with an end that is no node go."""
+    for end, kind in ends.items():
+        ids = named.filter(F.col("node_type") == kind).select(F.col("business_id").alias(end), F.col("graph_node_id").alias(f"{end}_node_id"))
+        edges = edges.join(ids, end)
+    return edges
+
+
 def _per_manifest(s: Shipments) -> DataFrame:
     """mtn, tons, kg, n_carriers, n_codes: summed before they meet the manifests."""
     amounts = s.lines.groupBy("mtn").agg(F.sum(F.coalesce("tons", F.lit(0.0))).alias("_tons"), F.sum(F.coalesce("kg", F.lit(0.0))).alias("_kg"))

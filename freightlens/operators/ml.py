@@ -29,9 +29,16 @@ def split_name(uid: Column) -> Column:
     return F.when(r < SPLITS["train"][1], "train").when(r < SPLITS["validation"][1], "validation").otherwise("test")
 
 
-def levels(df: DataFrame, column: str) -> list[str]:
-    """The sorted values of a category, nulls left out: a bounded domain, read once."""
-    return sorted(r[0] for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).distinct().collect())
+def levels(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The sorted values of a category, nulls left out. Each becomes a column, so more than `most` are an error."""
+    found = df.select(F.col(column).cast("string").alias("v")).filter("v is not null").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values and is no category")
+    return sorted(r.v for r in found)
+
+
+def domains(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    return {c: levels(df, c) for c in columns}
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -119,11 +126,12 @@ def confusion(predicted: DataFrame) -> DataFrame:
 
 
 def class_metrics(matrix: DataFrame) -> DataFrame:
-    """label, support, precision, recall and f1 (0 where undefined) from a confusion matrix of a few rows."""
+    """label, support, precision, recall and f1 (0 where undefined) from a confusion matrix of a few rows. A class
+    that is predicted and never occurs has support 0."""
     right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
     by_label = matrix.groupBy("label").agg(F.sum("n").alias("support"), right.alias("_hit"))
     by_guess = matrix.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("_guessed"))
-    rows = by_label.join(by_guess, "label", "left")
+    rows = by_label.join(by_guess, "label", "full").na.fill(0, ["support", "_hit", "_guessed"])
     ratio = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = rows.withColumns({"precision": ratio(F.col("_hit"), F.col("_guessed")), "recall": ratio(F.col("_hit"), F.col("support"))})
     return rows.select("label", "support", "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"))
@@ -131,4 +139,4 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
 
 def overall(matrix: DataFrame) -> DataFrame:
     """accuracy and balanced accuracy (mean recall of the classes that occur)."""
-    return class_metrics(matrix).agg((F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"))
+    return class_metrics(matrix).agg((F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))

@@ -1,11 +1,14 @@
-"""Reading a foreign database over JDBC and landing it: types, options, sinks, settings."""
+"""Reading a foreign database over JDBC and landing it: types, options, sinks, settings, and the job over all tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import time
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,31 +52,66 @@ class Settings:
         return cls.of(yaml.safe_load(Path(path).read_text()) or {})
 
 
+def name(*parts: str) -> str:
+    """Parts of a name in standard quotes."""
+    return ".".join('"' + p.replace('"', '""') + '"' for p in parts)
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def table_reader(spark: SparkSession, s: Settings, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 64) -> DataFrameReader:
     """A JDBC reader of one table; with a numeric key and its bounds, in `parts` ranges side by side."""
-    r = spark.read.format("jdbc").option("url", s.url).option("dbtable", f"{s.schema}.{table}").option("fetchsize", s.fetch_size)
+    r = spark.read.format("jdbc").option("url", s.url).option("dbtable", name(s.schema, table)).option("fetchsize", s.fetch_size)
     if key and bounds:
-        r = r.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+        r = r.option("partitionColumn", name(key)).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
     return r
 
 
 def columns_query(schema: str, table: str) -> str:
-    return f"SELECT COLUMN_NAME, DATA_TYPE, CHARACTER_MAXIMUM_LENGTH, NUMERIC_PRECISION, NUMERIC_SCALE, IS_NULLABLE FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_SCHEMA = '{schema}' AND TABLE_NAME = '{table}' ORDER BY ORDINAL_POSITION"
+    return f"""SELECT COLUMN_NAME, DATA_TYPE, CHARACTER_MAXIMUM_LENGTH, NUMERIC_PRECISION, NUMERIC_SCALE, IS_NULLABLE, ORDINAL_POSITION
+FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_SCHEMA = {text(schema)} AND TABLE_NAME = {text(table)}"""
 
 
 def tables_query(schema: str) -> str:
-    return f"SELECT TABLE_NAME FROM INFORMATION_SCHEMA.TABLES WHERE TABLE_TYPE = 'BASE TABLE' AND TABLE_SCHEMA = '{schema}' ORDER BY TABLE_NAME"
+    return f"SELECT TABLE_NAME FROM INFORMATION_SCHEMA.TABLES WHERE TABLE_TYPE = 'BASE TABLE' AND TABLE_SCHEMA = {text(schema)}"
 
 
 def count_query(schema: str, table: str) -> str:
     """The source's own estimate of a table's rows, from its catalog and without a scan."""
-    return f"SELECT SUM(p.rows) AS n FROM sys.partitions p JOIN sys.objects o ON o.object_id = p.object_id JOIN sys.schemas s ON s.schema_id = o.schema_id WHERE s.name = '{schema}' AND o.name = '{table}' AND p.index_id IN (0, 1)"
+    return f"""SELECT SUM(p.rows) AS n FROM sys.partitions p JOIN sys.objects o ON o.object_id = p.object_id JOIN sys.schemas s ON s.schema_id = o.schema_id
+WHERE s.name = {text(schema)} AND o.name = {text(table)} AND p.index_id IN (0, 1)"""
 
 
 def query_reader(spark: SparkSession, s: Settings, query: str) -> DataFrameReader:
     return spark.read.format("jdbc").option("url", s.url).option("query", query)
 
 
+def tables_of(spark: SparkSession, s: Settings) -> list[str]:
+    return sorted(r[0] for r in query_reader(spark, s, tables_query(s.schema)).load().collect())
+
+
+def schema_of(spark: SparkSession, s: Settings, table: str) -> T.StructType:
+    """A table's columns in their order, from the source's catalog."""
+    found = query_reader(spark, s, columns_query(s.schema, table)).load().collect()
+    return struct_of(sorted((r.asDict() for r in found), key=lambda c: c["ORDINAL_POSITION"]))
+
+
+def estimate(spark: SparkSession, s: Settings, table: str) -> int | None:
+    """None where the source does not tell."""
+    try:
+        return query_reader(spark, s, count_query(s.schema, table)).load().first()[0]
+    except (Py4JError, PySparkException):
+        return None
+
+
+def bounds_of(spark: SparkSession, s: Settings, table: str, key: str) -> tuple[int, int] | None:
+    """Least and greatest value of a numeric key; None for an empty table."""
+    low, high = query_reader(spark, s, f"SELECT MIN({name(key)}) AS lo, MAX({name(key)}) AS hi FROM {name(s.schema, table)}").load().first()
+    return None if low is None else (int(low), int(high) + 1)
+
+
 def struct_of(columns: Iterable[Mapping]) -> T.StructType:
     """The schema that the rows of columns_query describe."""
     return T.StructType([T.StructField(c["COLUMN_NAME"], map_type(c["DATA_TYPE"], c["NUMERIC_PRECISION"], c["NUMERIC_SCALE"]), c["IS_NULLABLE"] == "YES") for c in columns])
@@ -96,3 +134,38 @@ def land_csv(df: DataFrame, path: str, truncate: bool = True) -> None:
     binary = [f.name for f in df.schema if isinstance(f.dataType, T.BinaryType)]
     df = df.withColumns({c: F.concat(F.lit("\\x"), F.lower(F.hex(c))) for c in binary})
     df.write.mode("overwrite" if truncate else "append").option("nullValue", "\\N").option("header", True).csv(path)
+
+
+def attempts(work: Callable[[], object], tries: int = 3, pause: float = 5.0) -> object:
+    """work, done again after a pause if it fails, `tries` times in all."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return work()
+        except (Py4JError, PySparkException):
+            if not left:
+                raise
+            time.sleep(pause)
+
+
+def copy(spark: SparkSession, s: Settings, table: str, parts: int = 64) -> int:
+    """Lands one table with the types of its catalog, in ranges of its first whole-number column; returns its rows."""
+    schema = schema_of(spark, s, table)
+    key = next((f.name for f in schema if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)) and not f.nullable), None)
+    rows = table_reader(spark, s, table, key, bounds_of(spark, s, table, key) if key else None, parts).load()
+    rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    land(rows, f"{s.target}/{table}", s.truncate_before_load)
+    return spark.read.parquet(f"{s.target}/{table}").count()
+
+
+def run(spark: SparkSession, s: Settings, pause: float = 5.0) -> DataFrame:
+    """Copies every table of the schema. Per table: the source's estimate, the rows landed, status, error, seconds.
+    A table that fails three times does not keep the others from being copied."""
+    done = []
+    for table in tables_of(spark, s):
+        begin, rows, error = time.monotonic(), None, None
+        try:
+            rows = attempts(lambda: copy(spark, s, table), pause=pause)  # noqa: B023
+        except (Py4JError, PySparkException) as e:
+            error = str(e)[:500]
+        done.append((table, estimate(spark, s, table), rows, "FAILED" if error else "SUCCESS", error, time.monotonic() - begin))
+    return spark.createDataFrame(done, "table string, estimate bigint, rows bigint, status string, error string, seconds double")
