@@ -256,8 +256,10 @@ class Encoder:
 
     def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words together, and their number for each."""
-        long = [i for i, w in enumerate(words) if len(w) > LONG]
-        distinct = {w for w in words if len(w) <= LONG}
+        distinct = set(words)
+        vast = {w for w in distinct.difference(self.known) if len(w) > LONG}
+        long = [i for i, w in enumerate(words) if w in vast] if vast else []
+        distinct -= vast
         if new := sorted(distinct.difference(self.known)):
             if len(self.known) + len(new) > MEMORY:
                 new = sorted(distinct)

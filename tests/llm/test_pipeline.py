@@ -55,6 +55,34 @@ def test_language_keeps_unsure_and_unlabelled_documents(spark):
         assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
 
 
+CLASHING = ("_spans", "target", "_size", "_row", "_rk", "rk", "node", "key", "lang_pred", "score", "_doc", "_copies")
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    long = "long text of many words " * 20_000 + "password = hunter22"
+    base = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, " \t", None, None, 2), (3, "same words in this row and no others", "en", "a", 36), (3, "same words in this row and no others", "en", "a", 36)]
+    base += [(3, "another text of the same id that shares nothing", "en", None, 47), (None, "a text whose id is not there at all", "de", "b", 35), (4, long, "en", "b", len(long)), (5, "漢字 ½ 12", "zh", "b", 7), (6, "12 ½ …", "en", "b", 6)]
+    docs = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'{c}' as {c}" for c in CLASHING])
+    seen = [docs]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, seen[-1], "").persist()
+        empty = stage(spark, docs.limit(0), "")
+        assert empty.collect() == [] and empty.columns == out.columns
+        if k < 4:
+            assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in CLASHING), name
+        seen.append(out)
+    rows = [sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str) for df in seen[:5]]
+    assert rows[1] == sorted(((d, t) for d, t, *_ in base if t and any(x.isalpha() for x in t)), key=str)
+    assert rows[2] == sorted(set(rows[1]), key=str)
+    assert rows[3] == sorted(((d, t.replace("password = hunter22", "[SECRET]")) for d, t in rows[2]), key=str)
+    assert set(rows[4]) <= set(rows[3]) and (4, long.replace("password = hunter22", "[SECRET]")) in rows[4]
+    assert {r.n_tokens > 0 for r in seen[5].collect()} == {True} and {r.n_chars == len(r.text) for r in seen[4].collect()} == {True}
+    for name in ("near_duplicates", "without_secrets", "mixed", "encoded"):
+        out = getattr(corpus_pipeline, name)(spark, docs, "")
+        n = {"near_duplicates": 9, "without_secrets": 10}.get(name)
+        assert n in (None, out.count()), name
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and out.count() > 100
