@@ -11,41 +11,58 @@ def _level(by: str, size: str, weight: str, total: str) -> str:
     """Share of each row: capped at three times its size, the rest by weight at one level."""
     over = f"OVER (PARTITION BY {by})" if by else "OVER ()"
     upto = f"OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY need RANGE UNBOUNDED PRECEDING)"
-    return f"""SELECT *, CASE WHEN capped THEN 3.0 * {size} ELSE {weight} * (({total} - 3.0 * coalesce(sum(CASE WHEN capped THEN {size} END) {over}, 0)) / sum(CASE WHEN NOT capped THEN {weight} END) {over}) END AS share
+    return f"""SELECT *, CASE WHEN capped THEN 3.0 * {size} ELSE {weight} * (({total} - 3.0 * coalesce(sum(CASE WHEN capped THEN {size} END) {over}, 0)) / sum(CASE
+  WHEN NOT capped THEN {weight} END) {over}) END AS share
   FROM (SELECT *, CASE WHEN w > 0 THEN ({total} - full_) / w >= need ELSE {total} - full_ >= 0 END AS capped
-    FROM (SELECT *, 3.0 * sum({size}) {upto} AS full_, sum({weight}) {over} - sum({weight}) {upto} AS w FROM (SELECT *, 3.0 * {size} / {weight} AS need FROM """
+    FROM (SELECT *, 3.0 * sum({size}) {upto} AS full_, sum({weight}) {over} - sum({weight}) {upto} AS w FROM (SELECT *,
+      3.0 * {size} / {weight} AS need FROM """
 
 
-MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, {_U} AS u FROM documents),
+MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, {_U} AS u
+  FROM documents),
 k AS (SELECT *, CASE WHEN size < 64 THEN 1 ELSE 2 END AS class, u / (1.0 - u) AS odds FROM d),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source),
 t AS ({_level("", "source_size", "weight", "total")} (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s))))),
-c AS (SELECT k.source, class, CAST(sum(size) AS BIGINT) AS csize, class * CAST(sum(size) AS BIGINT) AS cweight, any_value(source_size) AS source_size, any_value(share) AS target FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source GROUP BY k.source, class),
+c AS (SELECT k.source, class, CAST(sum(size) AS BIGINT) AS csize, class * CAST(sum(size) AS BIGINT) AS cweight,
+  any_value(source_size) AS source_size, any_value(share) AS target FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source GROUP BY k.source, class),
 l AS (SELECT *, share / csize AS copies FROM ({_level("source", "csize", "cweight", "target")} (SELECT * FROM c WHERE csize > 0)))))),
-p AS (SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p, sum((copies - floor(copies)) * csize) OVER (PARTITION BY source) AS left_, sum(CASE WHEN copies > floor(copies) THEN csize END) OVER (PARTITION BY source) AS open_ FROM l),
+p AS (SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p,
+  sum((copies - floor(copies)) * csize) OVER (PARTITION BY source) AS left_, sum(CASE
+  WHEN copies > floor(copies) THEN csize END) OVER (PARTITION BY source) AS open_ FROM l),
 q AS (SELECT *, CASE WHEN p > 0 AND left_ / open_ < 1 THEN (p / (1 - p)) / ((left_ / open_) / (1 - left_ / open_)) END AS by_ FROM p),
-r AS (SELECT k.*, left_, (odds / by_) / (1.0 + odds / by_) AS rank_ FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source AND k.class = q.class WHERE by_ IS NOT NULL AND size > 0),
+r AS (SELECT k.*, left_, (odds / by_) / (1.0 + odds / by_) AS rank_ FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source AND k.class = q.class
+  WHERE by_ IS NOT NULL AND size > 0),
 units AS (SELECT source, rank_, doc_id, u, sum(size) AS n, max(left_) AS left_ FROM r GROUP BY source, rank_, doc_id, u),
-chosen AS (SELECT source, doc_id, u, rank_ FROM (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank_, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM units) WHERE 2 * upto - n <= 2 * left_)
-SELECT k.doc_id, k.size, c.source_size, c.target, CAST(k.size * (coalesce(q.whole, 0) + CASE WHEN chosen.rank_ IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.class = c.class LEFT JOIN q ON k.source IS NOT DISTINCT FROM q.source AND k.class = q.class
-LEFT JOIN chosen ON chosen.source IS NOT DISTINCT FROM k.source AND chosen.doc_id IS NOT DISTINCT FROM k.doc_id AND chosen.u = k.u AND k.size > 0 AND by_ IS NOT NULL"""
+chosen AS (SELECT source, doc_id, u, rank_ FROM (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank_, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM units) WHERE 2 * upto - n <= 2 * left_)
+SELECT k.doc_id, k.size, c.source_size, c.target, CAST(k.size * (coalesce(q.whole, 0) + CASE WHEN chosen.rank_ IS NOT NULL THEN 1
+  ELSE 0 END) AS BIGINT) AS taken
+FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.class = c.class LEFT JOIN q ON k.source IS NOT DISTINCT FROM q.source
+  AND k.class = q.class
+LEFT JOIN chosen ON chosen.source IS NOT DISTINCT FROM k.source AND chosen.doc_id IS NOT DISTINCT FROM k.doc_id AND chosen.u = k.u AND k.size > 0
+  AND by_ IS NOT NULL"""
 
 _N, _M = len(sharding.SHARDS), sharding.TABLE_SIZE
 SHARDING = f"""WITH RECURSIVE shards AS (SELECT s, 'shard-' || lpad(CAST(s AS VARCHAR), 2, '0') AS name FROM range({_N}) t(s)),
-steps AS (SELECT s, name, ('0x' || substr(md5(name || ':offset'), 1, 12))::BIGINT % {_M} AS first, ('0x' || substr(md5(name || ':skip'), 1, 12))::BIGINT % {_M - 1} + 1 AS skip FROM shards),
-prefer AS (SELECT list(slots ORDER BY s) AS lists FROM (SELECT s, list_transform(range({_M}), lambda j: (first + j * skip) % {_M}) AS slots FROM steps)),
+steps AS (SELECT s, name, ('0x' || substr(md5(name || ':offset'), 1, 12))::BIGINT % {_M} AS first, ('0x' || substr(md5(name || ':skip'), 1,
+  12))::BIGINT % {_M - 1} + 1 AS skip FROM shards),
+prefer AS (SELECT list(slots ORDER BY s) AS lists FROM (SELECT s, list_transform(range({_M}), lambda j: (first + j * skip) % {_M}) AS slots
+  FROM steps)),
 fill AS (SELECT 0 AS claim, list_transform(range({_M}), lambda j: CAST(NULL AS BIGINT)) AS owner UNION ALL
   SELECT claim + 1, list_transform(owner, lambda v, i: CASE WHEN i = slot + 1 THEN claim % {_N} ELSE v END)
   FROM (SELECT claim, owner, list_filter(lists[claim % {_N} + 1], lambda x: owner[x + 1] IS NULL)[1] AS slot FROM fill, prefer WHERE claim < {_M})),
 owners AS (SELECT unnest(owner) AS s, unnest(range({_M})) AS slot FROM fill WHERE claim = {_M})
-SELECT doc_id, CAST(o.slot AS INT) AS slot, name AS shard FROM documents JOIN owners o ON o.slot = ('0x' || substr(md5('place:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT % {_M} JOIN shards USING (s)"""
+SELECT doc_id, CAST(o.slot AS INT) AS slot, name AS shard FROM documents
+  JOIN owners o ON o.slot = ('0x' || substr(md5('place:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT % {_M} JOIN shards USING (s)"""
 
 
 def _spans(k: int, r: secrets.Rule) -> str:
     pattern = "'" + r.pattern.replace("'", "''") + "'"
-    return f"""SELECT k AS row, {k} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS start, unnest(m) AS found, unnest(v) AS value
-  FROM (SELECT k, string_split_regex(text, {pattern}) AS p, regexp_extract_all(text, {pattern}, 0) AS m, regexp_extract_all(text, {pattern}, {r.group}) AS v FROM d WHERE regexp_matches(text, {pattern}))"""
+    return f"""SELECT k AS row, {k} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i],
+  lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS start, unnest(m) AS found, unnest(v) AS value
+  FROM (SELECT k, string_split_regex(text, {pattern}) AS p, regexp_extract_all(text, {pattern}, 0) AS m,
+    regexp_extract_all(text, {pattern}, {r.group}) AS v FROM d WHERE regexp_matches(text, {pattern}))"""
 
 
 def _joined(where: str) -> str:
@@ -56,7 +73,8 @@ def _joined(where: str) -> str:
 _LEAST = " ".join(f"WHEN {k} THEN {max(1, r.least)}" for k, r in enumerate(secrets.RULES))
 SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 spans AS (SELECT * FROM ({" UNION ALL ".join(_spans(k, r) for k, r in enumerate(secrets.RULES))}) WHERE length(value) >= CASE kind {_LEAST} END)
-SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, name in enumerate(secrets.BASE))}, sha256({_joined(f"kind < {len(secrets.BASE)}")}) AS base_sha256, {_joined("kind IS NOT NULL")} AS spans
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, name in enumerate(secrets.BASE))},
+  sha256({_joined(f"kind < {len(secrets.BASE)}")}) AS base_sha256, {_joined("kind IS NOT NULL")} AS spans
 FROM d LEFT JOIN spans ON spans.row = d.k GROUP BY d.k"""
 
 
