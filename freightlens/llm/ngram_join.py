@@ -117,14 +117,14 @@ def with_keys(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame,
     return keep(True), keep(False)
 
 
-def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text for each node of `wanted`."""
-    need = materialize(wanted.distinct().join(nodes.select("node", "rk"), "node"))
+def _with_texts(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (cell, node and more) with the text of each node, by cell. Texts are shuffled twice: to the rows that
+    want them, by row key, and with these to their cells."""
+    need = materialize(rows.join(nodes.select("node", "rk"), "node"))
     found, _ = with_keys(docs.select("rk", "text"), need, "rk")
     once = found.groupBy("rk").agg(F.first("text").alias("text"))
-    out = materialize(once.join(need.hint("shuffle_hash"), "rk").select("node", "text"))
-    discard(need)
-    return out
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return once.join(need.hint("shuffle_hash"), "rk").drop("rk").repartition(parts, "cell")
 
 
 def _hopeful(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
@@ -158,26 +158,32 @@ def _hopeful(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts reach the threshold."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+def _stars(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts reach the threshold. Each a meets its partners in cells of about
+    BLOCK of them at most."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("_nb"))
+    placed = pairs.join(blocks, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_nb"))).alias("cell"))
+    rows = placed.select("cell", F.col("a").alias("node"), F.lit(0).alias("turn")).distinct().unionByName(placed.select("cell", F.col("b").alias("node"), F.lit(1).alias("turn")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, mine, cell = None, None, None
         for b in batches:
-            sets: dict[int, np.ndarray] = {}
-            ids = {name: b.column(name).to_pylist() for name in ("a", "b")}
-            for name in ("a", "b"):
-                first = {x: i for i, x in reversed(list(enumerate(ids[name]))) if x not in sets}
-                texts = b.column(f"t{name}").take(pa.array(list(first.values()), pa.int64())).to_pylist()
-                sets |= {x: ordered(g, None) for x, (_, g) in zip(first, shingles(texts, width))}
-            hit = []
-            for x, y in zip(ids["a"], ids["b"]):
-                x, y = sets[x], sets[y]
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+            cells, turn, node = (b.column(c).to_pylist() for c in ("cell", "turn", "node"))
+            out = []
+            for k, grams in shingles(b.column("text").to_pylist(), width):
+                keys = ordered(grams, None)
+                if not turn[k]:
+                    hub, mine, cell = node[k], keys, cells[k]
+                    continue
+                if cells[k] != cell:
+                    raise ValueError("a cell without its first node")
+                inter = len(np.intersect1d(mine, keys, assume_unique=True))
+                if 100 * inter >= percent * (len(mine) + len(keys) - inter):
+                    out.append((hub, node[k]))
+            x, y = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
+    return _with_texts(rows, docs, nodes).select("cell", "turn", "node", "text").sortWithinPartitions("cell", "turn").mapInArrow(run, "a long, b long")
 
 
 def _walk(cell: np.ndarray, size: np.ndarray, plen: np.ndarray, last: np.ndarray, side: np.ndarray, lists: list, places: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -327,11 +333,12 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     # Two sets that link share a token within the least of each, and within the fewer least tokens of the
     # smaller that a partner of its own size would ask for (its index part).
     index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
-    nodes = materialize(known.groupBy("node").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first(F.size("first")).alias("plen"), F.first(F.element_at("first", -1)).alias("last")))
-    filed = known.select("node", index.alias("_index"), F.posexplode("first").alias("place", "token"))
+    alike = [F.min("rk").alias("rk"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("first").alias("first")]
+    nodes = materialize(known.groupBy("node").agg(*alike).withColumns({"plen": F.size("first"), "last": F.element_at("first", -1)}))
+    filed = nodes.select("node", index.alias("_index"), F.posexplode("first").alias("place", "token"))
     hub = F.min(F.when(F.col("place") < F.col("_index"), F.col("node"))).alias("hub")
     hubs = materialize(filed.groupBy("token").agg(hub, F.min("node").alias("_least"), F.max("node").alias("_most")).filter("_least < _most").select("token", "hub"))
-    shared = materialize(filed.drop("_index").join(hubs.hint("shuffle_hash"), "token").select("token", "node", "place", "hub").distinct())
+    shared = materialize(filed.drop("_index").join(hubs.hint("shuffle_hash"), "token").select("token", "node", "place", "hub"))
     size = nodes.select(F.col("node"), F.col("n"))
     group = materialize(shared.filter("hub is not null").select("hub", "node").distinct())
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("_l"))
@@ -341,9 +348,8 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     near = group.filter("hub <> node").join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("_hn")), "hub")
     near = near.filter(F.lit(100) * F.least("n", "_hn") >= F.lit(percent) * F.greatest("n", "_hn")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     near = materialize(_hopeful(near, lists, percent))
-    texts = _texts(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), rows, nodes)
-    first_links = materialize(_verified(near, texts, width, percent))
-    discard(near, texts)
+    first_links = materialize(_stars(near, rows, nodes, width, percent))
+    discard(near)
     roots = components(first_links)
     comp = F.coalesce("root", "node")
     # Sizes that can match are of the same bucket or of neighbours: cell (hub, k) has buckets k - 1 and k.
@@ -357,11 +363,10 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, perce
     close = materialize(_near(cells.join(lists, "node").repartition(parts, "cell").sortWithinPartitions("cell"), percent))
     # Of a cell's members only those with a candidate there are compared by their whole texts.
     discard(lists)
-    texts = _texts(close.select("node"), rows, nodes)
-    again = cells.join(close, ["cell", "node"]).join(texts, "node")
     links = first_links
-    more = materialize(_linked(again.repartition(parts, "cell").sortWithinPartitions("cell"), heat, width, percent))
-    discard(cells, close, texts)
+    again = _with_texts(cells.join(close, ["cell", "node"]), rows, nodes).sortWithinPartitions("cell")
+    more = materialize(_linked(again, heat, width, percent))
+    discard(cells, close)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
