@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,7 +20,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = edges.join(labels.select(F.col("node").alias("v"), F.col("root").alias("_r")), "v").groupBy(F.col("u").alias("node")).agg(F.min("_r").alias("_near"))
         step = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("_near", "root")).alias("_to"), F.col("root").alias("_was"))
         jump = labels.select(F.col("node").alias("_to"), F.col("root").alias("_far"))
-        step = materialize(step.join(jump, "_to", "left").select("node", F.least("_to", F.coalesce("_far", "_to")).alias("root"), "_was"))
+        before, step = labels, materialize(step.join(jump, "_to", "left").select("node", F.least("_to", F.coalesce("_far", "_to")).alias("root"), "_was"))
+        discard(before)
         if step.filter("root <> _was").isEmpty():
+            discard(edges)
             return step.select("node", "root")
         labels = step.select("node", "root")

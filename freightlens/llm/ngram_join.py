@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -239,8 +240,9 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
     return members.select("cell", "node", "n", "plen", "last", "side", "tokens", "places").mapInArrow(run, "cell long, node long")
 
 
-def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> DataFrame:
-    """members: cell, node, comp, side, text, by cell. Links (a, b) enough to join what links across the sides of a cell."""
+def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int, every: bool = False) -> DataFrame:
+    """members: cell, node, comp, side, text, by cell. Links (a, b) enough to join what links across the sides of a cell, or
+    all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_cells(batches, 512):
@@ -271,7 +273,8 @@ def _linked(members: DataFrame, heat: Broadcast, width: int, percent: int) -> Da
                     if a != b:
                         inter = len(np.intersect1d(whole[x], whole[y], assume_unique=True))
                         if 100 * inter >= percent * (size[x] + size[y] - inter):
-                            up[a] = b
+                            if not every:
+                                up[a] = b
                             out.append((node[x], node[y]))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -312,67 +315,116 @@ def _named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), component)
 
 
-def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, percent: int = 85, with_root: bool = False) -> DataFrame:
-    """doc_id, rk (a hash of id and text), n_shingles, component_id for every row of docs; with_root adds
-    root, the component's least node, which tells components apart whatever their ids (null without words).
+@dataclass(frozen=True)
+class _Index:
+    """What steps 1 and 2 give. rows: doc_id, rk, text. sets: doc_id, rk, n, node. nodes: node, rk, n, doc_id, plen, last.
+    group: hub, node. lists: node, n, plen, last, and the shared ones of its first tokens with their places."""
 
-    Words are runs other than space and \\t..\\r, with A-Z in lower case. Sets of `width`-word shingles
-    link when 100 * intersection >= percent * union.
-    - fewer words than `width`: the whole sequence is the one shingle
-    - null or empty text, or no words: no shingles, linked with nothing
-    - component_id: the smallest doc_id that links reach, the row's own included; null ids link as
-      others do but are never the smallest unless the whole component has none
-    - repeated rows and ids: each row is there once, with the same values
-    - ties cannot occur: the order of tokens is total. Empty table: empty result. Other columns are not read.
-    """
-    spark = docs.sparkSession
+    rows: DataFrame
+    heat: Broadcast
+    sets: DataFrame
+    nodes: DataFrame
+    group: DataFrame
+    lists: DataFrame
+    width: int
+    percent: int
+
+
+def _index(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> _Index:
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("rk"), F.col(text).alias("text"))
-    heat = spark.sparkContext.broadcast(_heat(rows.select("text"), width))
+    heat = docs.sparkSession.sparkContext.broadcast(_heat(rows.select("text"), width))
     sets = materialize(_sets(rows, heat, width, percent))
-    known = sets.filter("node is not null")
+    alike = [F.min("rk").alias("rk"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("first").alias("first")]
+    nodes = sets.filter("node is not null").groupBy("node").agg(*alike)
+    nodes = materialize(nodes.withColumns({"plen": F.size("first"), "last": F.element_at("first", -1)}))
     # Two sets that link share a token within the least of each, and within the fewer least tokens of the
     # smaller that a partner of its own size would ask for (its index part).
-    index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
-    alike = [F.min("rk").alias("rk"), F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("first").alias("first")]
-    nodes = materialize(known.groupBy("node").agg(*alike).withColumns({"plen": F.size("first"), "last": F.element_at("first", -1)}))
-    filed = nodes.select("node", index.alias("_index"), F.posexplode("first").alias("place", "token"))
-    hub = F.min(F.when(F.col("place") < F.col("_index"), F.col("node"))).alias("hub")
-    hubs = materialize(filed.groupBy("token").agg(hub, F.min("node").alias("_least"), F.max("node").alias("_most")).filter("_least < _most").select("token", "hub"))
-    shared = materialize(filed.drop("_index").join(hubs.hint("shuffle_hash"), "token").select("token", "node", "place", "hub"))
-    size = nodes.select(F.col("node"), F.col("n"))
+    part = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
+    filed = nodes.select("node", part.alias("_part"), F.posexplode("first").alias("place", "token"))
+    hub = F.min(F.when(F.col("place") < F.col("_part"), F.col("node"))).alias("hub")
+    hubs = filed.groupBy("token").agg(hub, F.min("node").alias("_least"), F.max("node").alias("_most"))
+    hubs = materialize(hubs.filter("_least < _most").select("token", "hub"))
+    shared = materialize(filed.drop("_part").join(hubs.hint("shuffle_hash"), "token").select("token", "node", "place", "hub"))
     group = materialize(shared.filter("hub is not null").select("hub", "node").distinct())
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("_l"))
     lists = lists.select("node", F.col("_l.token").alias("tokens"), F.col("_l.place").alias("places"))
     lists = materialize(lists.join(nodes.select("node", "n", "plen", "last"), "node"))
     discard(hubs, shared)
-    near = group.filter("hub <> node").join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("_hn")), "hub")
-    near = near.filter(F.lit(100) * F.least("n", "_hn") >= F.lit(percent) * F.greatest("n", "_hn")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    near = materialize(_hopeful(near, lists, percent))
-    first_links = materialize(_stars(near, rows, nodes, width, percent))
+    return _Index(rows, heat, sets, nodes, group, lists, width, percent)
+
+
+def _hub_links(x: _Index) -> DataFrame:
+    """Links (a, b) of hubs with members of their groups."""
+    size = x.nodes.select("node", "n")
+    near = x.group.filter("hub <> node").join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("_hn")), "hub")
+    near = near.filter(F.lit(100) * F.least("n", "_hn") >= F.lit(x.percent) * F.greatest("n", "_hn"))
+    near = materialize(_hopeful(near.select(F.col("hub").alias("a"), F.col("node").alias("b")), x.lists, x.percent))
+    links = materialize(_stars(near, x.rows, x.nodes, x.width, x.percent))
     discard(near)
-    roots = components(first_links)
-    comp = F.coalesce("root", "node")
+    return links
+
+
+def _group_links(x: _Index, roots: DataFrame | None) -> DataFrame:
+    """Links (a, b) between nodes of different roots, enough to join what links; without roots all links, some twice."""
+    known = x.group.join(x.nodes.select("node", "n"), "node")
+    comp = F.col("node") if roots is None else F.coalesce("root", "node")
     # Sizes that can match are of the same bucket or of neighbours: cell (hub, k) has buckets k - 1 and k.
-    bucket = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    members = group.join(size, "node").join(roots, "node", "left").select("hub", "node", comp.alias("comp"), bucket.alias("_own"))
+    bucket = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / x.percent) * (1 + 1e-9))).cast("int")
+    members = known if roots is None else known.join(roots, "node", "left")
+    members = members.select("hub", "node", comp.alias("comp"), bucket.alias("_own"))
     members = materialize(members.select("*", F.explode(F.array("_own", F.col("_own") + 1)).alias("_k")))
-    cells = _meetings(members)
-    cells = materialize(cells)
-    discard(members, group)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    close = materialize(_near(cells.join(lists, "node").repartition(parts, "cell").sortWithinPartitions("cell"), percent))
+    cells = materialize(_meetings(members))
+    parts = int(x.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    close = materialize(_near(cells.join(x.lists, "node").repartition(parts, "cell").sortWithinPartitions("cell"), x.percent))
     # Of a cell's members only those with a candidate there are compared by their whole texts.
-    discard(lists)
-    links = first_links
-    again = _with_texts(cells.join(close, ["cell", "node"]), rows, nodes).sortWithinPartitions("cell")
-    more = materialize(_linked(again, heat, width, percent))
-    discard(cells, close)
+    again = _with_texts(cells.join(close, ["cell", "node"]), x.rows, x.nodes).sortWithinPartitions("cell")
+    links = materialize(_linked(again, x.heat, x.width, x.percent, roots is None))
+    discard(members, cells, close)
+    return links
+
+
+def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, percent: int = 85, with_root: bool = False) -> DataFrame:
+    """doc_id, rk (a hash of id and text), n_shingles, component_id for every row of docs; with_root adds
+    root, the component's least node, which tells components apart whatever their ids (null without words).
+
+    Words are runs other than space and \\t..\\r, with A-Z in lower case. Sets of `width`-word shingles
+    link when 100 * intersection >= percent * union.
+    - fewer words than `width`: the whole sequence is the one shingle
+    - null or empty text, or no words: no shingles, linked with nothing
+    - component_id: the smallest doc_id that links reach, the row's own included; null ids link as
+      others do but are never the smallest unless the whole component has none
+    - repeated rows and ids: each row is there once, with the same values. Very long texts are compared whole
+    - ties cannot occur: the order of tokens is total. Empty table: empty result. Other columns are not read.
+    """
+    x = _index(docs, doc_id, text, width, percent)
+    links = _hub_links(x)
+    roots = components(links)
+    more = _group_links(x, roots)
+    discard(x.group, x.lists)
     if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-    of_node = _named(nodes, roots).select("node", "component_id", *(["root"] if with_root else []))
-    out = sets.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
-    return out.select("doc_id", "rk", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *(["root"] if with_root else []))
+        roots = components(links.unionByName(more))
+    of_node = _named(x.nodes, roots).select("node", "component_id", *(["root"] if with_root else []))
+    out = x.sets.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "rk", "n_shingles", component, *(["root"] if with_root else []))
+
+
+def links(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """All links, as (pairs, membership): pairs a < b of nodes, which stand for one set of shingles each, and doc_id,
+    rk, n_shingles, node and n_links (other rows linked directly, those of equal sets included) of every row of docs.
+
+    As many pairs as there are links between different sets; rows of equal sets make none. Odd rows are treated as in
+    `join`: node is null and n_links 0 for a row without words."""
+    x = _index(docs, doc_id, text, width, percent)
+    found = _group_links(x, None)
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    discard(x.group, x.lists, found)
+    copies = x.sets.filter("node is not null").groupBy("node").agg(F.count("*").alias("_n"))
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("_other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("_other")))
+    others = ends.join(copies.select(F.col("node").alias("_other"), F.col("_n").alias("_m")), "_other").groupBy("node").agg(F.sum("_m").alias("_m"))
+    counts = copies.join(others, "node", "left").select("node", (F.col("_n") - 1 + F.coalesce("_m", F.lit(0))).alias("n_links"))
+    rows = x.sets.join(counts, "node", "left")
+    return pairs, rows.select("doc_id", "rk", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, percent: int = 80) -> DataFrame:

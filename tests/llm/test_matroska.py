@@ -6,6 +6,7 @@ import struct
 import zlib
 
 from freightlens.llm import matroska as m
+from freightlens.llm.queries import QUERIES
 
 
 def payload(data, parsed):
@@ -67,3 +68,15 @@ def test_columns(spark):
     assert m.digests(m.with_media(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
     broken = spark.createDataFrame([(1, None), (2, bytearray(b"no"))], "doc_id long, media binary")
     assert [r.payload_bytes for r in m.digests(broken).collect()] == [None, None] and m.packet_table(broken).count() == 0
+
+
+def test_whole_table(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    out = QUERIES["op2_matroska"](spark, "/root/testdata/sf0.01").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        raw = (rows[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        media = m.write(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())

@@ -68,6 +68,20 @@ def corpus(seed):
     return rows + [(None, texts[30]), (None, None), (5, texts[5]), (5, texts[9])]
 
 
+def test_all_links_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rows = corpus(4)
+    sets = [frozenset(x) for x in sets_of([t for _, t in rows], 4)]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted((str(d), len(x), sum(near(x, y) for y in sets) - bool(x)) for (d, _), x in zip(rows, sets))
+    pairs, member = ngram_join.links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in member.collect()) == want
+    kinds = list(set(sets))
+    assert pairs.count() == sum(near(x, y) for i, x in enumerate(kinds) for y in kinds[:i]) and pairs.filter("a >= b").isEmpty()
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert [df.collect() for df in ngram_join.links(empty)] == [[], []]
+
+
 @pytest.mark.parametrize("width,percent,block", [(4, 85, 1024), (5, 80, 16)])
 def test_join_equals_all_pairs(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)

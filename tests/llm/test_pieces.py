@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from freightlens.llm import pieces
-from freightlens.llm.queries import TOKENIZER
+from freightlens.llm.queries import QUERIES, TOKENIZER
 
 
 ROOT = Path(__file__).parents[2]
@@ -115,7 +115,7 @@ def test_memory_of_a_very_long_word():
     code = """
 import base64, random, resource, sys
 from freightlens.llm import pieces
-from freightlens.llm.queries import TOKENIZER
+from freightlens.llm.queries import QUERIES, TOKENIZER
 v = pieces.from_model(TOKENIZER)
 text = base64.b64encode(random.Random(1).randbytes(3_000_000)).decode()
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
@@ -125,3 +125,28 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
     assert float(out.stdout.split()[-1]) < 250
+
+
+def test_whole_table(spark):
+    """Every text comes back, and the ids of short texts are those of a plain dynamic programme."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = QUERIES["op4_unigram_pieces"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == len(texts) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in out)
+    v = pieces.from_model(TOKENIZER)
+    short = sorted((r for r in out if texts[r.doc_id]), key=lambda r: len(texts[r.doc_id]))[:40]
+    best = {p: i for i, p in reversed(list(enumerate(v.pieces))) if i not in set(v.byte_ids.tolist()) and i > 2}
+    for r in short:
+        s = " " + texts[r.doc_id]
+        score = [0.0] + [-np.inf] * len(s)
+        for a in range(len(s)):
+            for b in range(a + 1, min(len(s), a + 40) + 1):
+                i = best.get(s[a:b].encode())
+                if i is not None or b == a + 1:
+                    score[b] = max(score[b], score[a] + (v.scores[i] if i is not None else v.scores.min() - pieces.PENALTY))
+        fallback, got = set(v.byte_ids.tolist()), 0.0
+        for i in r.token_ids:
+            if i in fallback:  # the first byte of a character pays for all of it
+                got += (v.scores.min() - pieces.PENALTY) if v.pieces[i][0] & 0xC0 != 0x80 else 0.0
+            else:
+                got += v.scores[i]
+        assert abs(got - score[-1]) < 1e-6 * max(1, abs(score[-1])), r.doc_id
