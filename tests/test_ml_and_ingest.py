@@ -1,6 +1,7 @@
 """Splits, one-hot columns, null policy, kept models; type names, settings and sinks of the ingest."""
 
 from decimal import Decimal
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -147,6 +148,13 @@ def test_tables_are_made_once(spark):
     assert spark.table("made.edges").columns == ["tons", "year"]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    session = lambda master, root=None: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: root), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(session("spark://host:7077"))
+    assert tables.shared_folder(session("spark://host:7077", "s3://bucket/x/")) == "s3://bucket/x"
+
+
 def test_classes_that_only_are_predicted(spark):
     matrix = spark.createDataFrame([(0, 0, 5), (0, 2, 5)], "label int, prediction int, n bigint")
     rows = {r.label: (r.support, r.precision, r.recall, r.f1) for r in ml.class_metrics(matrix).collect()}

@@ -92,6 +92,8 @@ def test_ties_at_the_cut(spark):
     df = spark.createDataFrame([("b", 1), ("a", 1), ("c", 5), (None, 9), ("d", None)], "k string, n int")
     assert [r.k for r in topn.top_n(df, "k", F.sum("n"), 2, "s").collect()] == ["c", "a"]
     assert topn.top_n(df, "k", F.sum("n"), 9, "s").collect()[-1].k == "d"
+    with pytest.raises(ValueError, match="too long"):
+        topn.top_n(df, "k", F.sum("n"), 10**6, "s")
 
 
 def test_numbers_follow_the_key(spark):
