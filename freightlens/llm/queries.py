@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, langid, matroska, mixing, neardup, ngram_join, oracles, pieces, secrets, sharding
+from . import bpe, chat, extraction, infill, langid, matroska, mixing, neardup, ngram_join, oracles, pieces, secrets, sharding
 from .common import load, materialize
 
 #: A SentencePiece model with byte pieces; any other can be given.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: A BPE tokenizer with word ends; any other of its kind can be given.
+WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -87,7 +89,22 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(both, by=("conv_id", "added")).drop("added")
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op9_main_text, op10_chat_round_trip)}
+def op12_word_bpe(spark: SparkSession, sf_dir: str, model: str = WORD_BPE) -> DataFrame:
+    small_batches(spark)
+    m = bpe.from_file(model)
+    coded = bpe.as_bytes(bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), m).drop("text"))
+    n_tokens = F.size("token_ids").cast("bigint").alias("n_tokens")
+    return bpe.decode(coded, m).select("doc_id", n_tokens, F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    cut = infill.transform(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = infill.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op9_main_text, op10_chat_round_trip, op12_word_bpe, op13_fill_in_middle)}
 
 #: The others have no SQL form: their tests hold them against brute force, round trips or held-out rows.
 ORACLES = {
@@ -97,4 +114,5 @@ ORACLES = {
     "op6_secret_scan": oracles.SECRETS,
     "op7_embedding_neardup": oracles.EMBEDDINGS,
     "op10_chat_round_trip": oracles.CHAT,
+    "op13_fill_in_middle": oracles.INFILL,
 }
