@@ -22,6 +22,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -437,7 +438,7 @@ def decode(rows: DataFrame, m: Model, *, ids: str = "token_ids", out: str = "dec
         for b in batches:
             lists = b.column(ids).fill_null([])
             flat = lists.flatten()
-            count = np.array(pa.compute.list_value_length(lists), np.int64)
+            count = np.array(pc.list_value_length(lists), np.int64)
             some = flat.fill_null(-1).to_numpy().astype(np.int64)
             good = (some >= 0) & (some < len(tokens))
             good[good] = known[some[good]]
@@ -456,7 +457,7 @@ def as_bytes(rows: DataFrame, *, ids: str = "token_ids", out: str = "id_bytes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(ids).fill_null([])
-            count = np.array(pa.compute.list_value_length(lists), np.int64)
+            count = np.array(pc.list_value_length(lists), np.int64)
             raw = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).astype("<u4").tobytes())
             ends = np.concatenate(([0], 4 * np.cumsum(count))).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([raw[a:c].tobytes() for a, c in zip(ends, ends[1:])], pa.binary())], names=names)

@@ -141,3 +141,38 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
     ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts"""
+
+
+def _assigned(k: int) -> str:
+    """Parts by codebook c{k}: each one's entry and squared distance."""
+    return f"""a{k} AS MATERIALIZED (
+  SELECT k, p, arg_min(e, d * 64 + e) AS e, min(d) AS d, any_value(y) AS y FROM (
+    SELECT parts.k, p, e, y, CAST(list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM parts JOIN c{k} USING (p)) GROUP BY k, p)"""
+
+
+def _moved(k: int) -> str:
+    """Codebook c{k + 1} from the parts' entries of c{k}."""
+    return f"""c{k + 1} AS MATERIALIZED (
+  SELECT c{k}.p, c{k}.e, coalesce(any_value(n.c), any_value(c{k}.c)) AS c FROM c{k} LEFT JOIN (
+    SELECT p, e, list(x ORDER BY i) AS c FROM (
+      SELECT p, e, i, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x
+      FROM (SELECT p, e, unnest(y) AS x, unnest(range(len(y))) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e) n
+  ON n.p = c{k}.p AND n.e = c{k}.e GROUP BY c{k}.p, c{k}.e)"""
+
+
+VECTOR_CODES = f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT k, p, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS y FROM v, range(16) t(p)),
+least AS (SELECT k, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM v QUALIFY e < 64),
+c0 AS MATERIALIZED (SELECT p, e, y AS c FROM least JOIN parts USING (k)),
+{_assigned(0)},
+{_moved(0)},
+{_assigned(1)},
+{_moved(1)},
+{_assigned(2)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS hex FROM c2),
+coded AS (SELECT k, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY k)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, hex AS codebooks_sha256
+FROM v JOIN coded USING (k), books"""

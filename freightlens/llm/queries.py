@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, extraction, infill, langid, matroska, mixing, neardup, ngram_join, oracles, pieces, secrets, sharding
+from . import bpe, chat, extraction, infill, langid, matroska, mixing, neardup, ngram_join, oracles, pieces, quantize, secrets, sharding
 from .common import load, materialize
 
 #: A SentencePiece model with byte pieces; any other can be given.
@@ -89,6 +89,13 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(both, by=("conv_id", "added")).drop("added")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = quantize.fit_and_code(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), keep=("label",))
+    rows = materialize(coded.rows.select("key.vec_id", "key.label", F.lower(F.hex("code")).alias("code"), "error"))
+    summed = quantize.with_group_sums(rows, F.col("label"), F.col("error"), "label_error")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(coded.books.sha256()).alias("codebooks_sha256"))
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str, model: str = WORD_BPE) -> DataFrame:
     small_batches(spark)
     m = bpe.from_file(model)
@@ -104,7 +111,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op9_main_text, op10_chat_round_trip, op12_word_bpe, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_matroska, op3_ngram_join, op4_unigram_pieces, op5_lookup_sharding, op6_secret_scan, op7_embedding_neardup, op8_language_id, op9_main_text, op10_chat_round_trip, op11_vector_codes, op12_word_bpe, op13_fill_in_middle)}
 
 #: The others have no SQL form: their tests hold them against brute force, round trips or held-out rows.
 ORACLES = {
@@ -114,5 +121,6 @@ ORACLES = {
     "op6_secret_scan": oracles.SECRETS,
     "op7_embedding_neardup": oracles.EMBEDDINGS,
     "op10_chat_round_trip": oracles.CHAT,
+    "op11_vector_codes": oracles.VECTOR_CODES,
     "op13_fill_in_middle": oracles.INFILL,
 }

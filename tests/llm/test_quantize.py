@@ -1,0 +1,100 @@
+"""Codes, codebooks and errors against Lloyd's rounds by all distances in Python's integers."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from freightlens.llm import quantize
+from freightlens.llm.queries import QUERIES
+
+
+def plain(rows, parts, entries, rounds, scale=256):
+    """rows: (id, vector). Codes and errors in order of rows that stay, and the codebooks."""
+    kept = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    width = max(1, -(-max((len(v) for _, v in kept), default=0) // parts))
+    x = [[int(np.floor(scale * float(c))) for c in v] + [0] * (parts * width - len(v)) for _, v in kept]
+    cut = [[tuple(v[p * width : (p + 1) * width]) for p in range(parts)] for v in x]
+    order = sorted(range(len(kept)), key=lambda i: (kept[i][0] is None, kept[i][0] or 0, x[i]))[:entries]
+    books = [[cut[i][p] for i in order] for p in range(parts)]
+    d = lambda a, b: sum((s - t) ** 2 for s, t in zip(a, b))
+    for k in range(rounds + 1):
+        codes = [[min(range(len(books[p])), key=lambda e: (d(c[p], books[p][e]), e)) for p in range(parts)] for c in cut]
+        if k == rounds:
+            break
+        for p in range(parts):
+            for e in range(len(books[p])):
+                mine = [c[p] for c, code in zip(cut, codes) if code[p] == e]
+                if mine:
+                    books[p][e] = tuple(sum(s) // len(mine) for s in zip(*mine))
+    return [(kept[i][0], codes[i], sum(d(cut[i][p], books[p][codes[i][p]]) for p in range(parts))) for i in range(len(kept))], books
+
+
+def coded(spark, rows, monkeypatch=None, **options):
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, code string").repartition(3)
+    out = quantize.fit_and_code(df, keep=("code",), **options)
+    kind = quantize.code_type(options.get("entries", 64))
+    return sorted(((r.vec_id, np.frombuffer(bytes(r.c), kind).tolist(), r.error) for r in out.rows.select("key.vec_id", F.col("code").alias("c"), "error").collect()), key=str), out
+
+
+@pytest.mark.parametrize("shape", ["far", "ties", "large"])
+def test_against_all_distances(spark, monkeypatch, shape):
+    monkeypatch.setattr(quantize, "PER_GROUP", 4)
+    monkeypatch.setattr(quantize, "TOGETHER", 50)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 8)) * 3
+    x = centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * 0.2
+    if shape == "ties":
+        x = rng.integers(-2, 3, (300, 8)) / 256
+    if shape == "large":
+        x = np.round(x) * 50_000 + rng.integers(0, 2, x.shape) / 256
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(300), x)]
+    rows += [(rows[0][0], rows[0][1]), (rows[1][0], rows[2][1]), (None, rows[3][1]), (400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [0.0] * 7 + [float("-inf")]), (404, []), (405, [0.0] * 8), (-1, [1.5])]
+    want, books = plain(rows, 4, 12, 4)
+    got, out = coded(spark, rows, parts=4, entries=12, rounds=4)
+    assert got == sorted(want, key=str)
+    assert out.books.entries.tolist() == [[list(e) for e in b] for b in books]
+    full = len(want) * 4 * 12
+    assert out.computed[0] == full
+    if shape == "far":
+        # The bounds settle most parts without a distance.
+        assert max(out.computed[1:]) < full / 2
+
+
+def test_float_ties_go_by_integers():
+    """Distances that floats round to one value."""
+    x = np.array([[2**27, 1, 0]], np.int64)
+    c = np.array([[-(2**27), 3, 0], [-(2**27), 2, 1], [-(2**27), 1, 0], [-(2**27), 1, 0]], np.int64)
+    assert quantize.off_by(x, c) > 0
+    assert quantize.scan(x, c, np.zeros(4, int), 1)[0].tolist() == [2]
+
+
+def test_few_and_no_rows(spark):
+    rows = [(5, [0.5, -0.25, 0.1]), (2, [0.5, 0.25, -0.1])]
+    want, books = plain(rows, 2, 64, 2)
+    got, out = coded(spark, rows, parts=2)
+    assert got == sorted(want, key=str) and out.books.entries.shape == (2, 2, 2)
+    for none in ([], [(1, None)]):
+        got, out = coded(spark, none)
+        assert got == [] and out.books.entries.size == 0
+    got, _ = coded(spark, [(1, []), (2, [])])
+    assert [(i, e) for i, _, e in got] == [(1, 0), (2, 0)]
+
+
+def test_sums_of_hot_labels(spark, monkeypatch):
+    monkeypatch.setattr(quantize, "HEAVY", 5)
+    rows = [(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"l{i % 50}", i) for i in range(300)] + [(1000, "huge", 2**62), (1001, "huge", 2**62)]
+    got = {r.id: r.total for r in quantize.with_group_sums(spark.createDataFrame(rows, "id long, label string, v long"), F.col("label"), F.col("v"), "total").collect()}
+    want = {i: sum(v for _, m, v in rows if m == label) for i, label, _ in rows}
+    assert len(got) == len(rows) and got == want | {1000: None, 1001: None}
+
+
+def test_query_on_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    given = [(r.vec_id, [float(x) for x in r.embedding], r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want, books = plain([(i, v) for i, v, _ in given], 16, 64, 2)
+    label = {i: m for i, _, m in given}
+    by_label = {}
+    for i, _, e in want:
+        by_label[label[i]] = by_label.get(label[i], 0) + e
+    rows = QUERIES["op11_vector_codes"](spark, sf).collect()
+    assert sorted((r.vec_id, r.code, r.error, r.label_error) for r in rows) == sorted((i, "".join(f"{k:02x}" for k in c), e, by_label[label[i]]) for i, c, e in want)
