@@ -3,7 +3,7 @@
     python -m freightlens.jobs ingest settings.yaml
     python -m freightlens.jobs build --input DIR --root DIR [--mode stage|load|all] [--force] [--rebuild]
     python -m freightlens.jobs views --input DIR --root DIR
-    python -m freightlens.jobs train --root DIR --view simple|graph --kind logistic|bayes|perceptron
+    python -m freightlens.jobs train --root DIR --view simple|graph --kind logistic|bayes|perceptron|sgd|network|pages [--epochs N]
 
 They end with 0, with 1 after an error and with 130 after an interruption.
 """
@@ -16,7 +16,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import features, ml
+from .operators import features, ml, training
 from .sources import ingest
 from .sources.shipments import Shipments, from_orders
 from .streaming import quarters
@@ -57,16 +57,20 @@ def build_views(spark: SparkSession, s: Shipments, root: str, simple: dict | Non
     return spark.createDataFrame(done, "view string, rows bigint, seconds double")
 
 
-def train(spark: SparkSession, root: str, view: str, kind: str, again: bool = False) -> DataFrame:
+def train(spark: SparkSession, root: str, view: str, kind: str, again: bool = False, epochs: int = 10, batches: int = 1) -> DataFrame:
     """Reads a written view, discovers the levels of its categories, fits and keeps a model on the training part or
-    takes the one that is kept, and writes the test part's confusion matrix and figures by class. Returns the latter."""
+    takes the one that is kept, and writes the test part's confusion matrix and figures by class. Returns the latter.
+    Kinds that train by pages go on from the last epoch that is kept, up to `epochs`."""
     rows = spark.read.parquet(f"{root}/views/{view}")
     prepare = {"simple": ml.transform_simple, "graph": lambda df, d: ml.transform_graph(df.drop("year", "quarter"), d)}[view]
     rows = prepare(rows, ml.domains(rows, CATEGORIES[view]))
     if kind == "bayes":
         rows = ml.clamp(rows, ml.features_of(rows))
     path = f"{root}/models/{view}-{kind}"
-    model = ml.fit_or_load(f"{path}/model", ml.split(rows, "train"), kind, again=again)
+    if kind in training.KINDS:
+        model = training.fit_pages(rows, kind, epochs, batches=batches, path=f"{path}/epochs", again=again)
+    else:
+        model = ml.fit_or_load(f"{path}/model", ml.split(rows, "train"), kind, again=again)
     matrix = ingest.materialized(ml.confusion(model.transform(ml.split(rows, "test"))), f"{path}/confusion", f"{view}_{kind}_confusion")
     ingest.land(ml.overall(matrix), f"{path}/overall")
     return ingest.materialized(ml.class_metrics(matrix), f"{path}/metrics", f"{view}_{kind}_metrics")
@@ -87,8 +91,10 @@ def main(argv: list[str] | None = None) -> int:
     j = jobs.add_parser("train")
     j.add_argument("--root", required=True)
     j.add_argument("--view", choices=tuple(CATEGORIES), default="simple")
-    j.add_argument("--kind", choices=("logistic", "bayes", "perceptron"), default="logistic")
+    j.add_argument("--kind", choices=("logistic", "bayes", "perceptron", *training.KINDS), default="logistic")
     j.add_argument("--again", action="store_true")
+    j.add_argument("--epochs", type=int, default=10)
+    j.add_argument("--batches", type=int, default=1)
     a, begin = p.parse_args(argv), time.monotonic()
     spark = SparkSession.builder.appName("freightlens").getOrCreate()
     try:
@@ -100,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         elif a.job == "views":
             out = build_views(spark, from_orders(spark, a.input), a.root)
         else:
-            out = train(spark, a.root, a.view, a.kind, a.again).orderBy(F.col("label"))
+            out = train(spark, a.root, a.view, a.kind, a.again, a.epochs, a.batches).orderBy(F.col("label"))
         out.show(1000, truncate=False)
     except KeyboardInterrupt:
         return 130

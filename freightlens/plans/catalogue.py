@@ -7,14 +7,15 @@ order of addition is not fixed.
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import change_label, lag_ratio, lag_sum
-from ..operators import features, graph, ml, topn, upsert
+from ..operators import features, graph, ml, topn, training, upsert
 from ..sources.shipments import Shipments, from_orders
-from ..sources.tables import written
+from ..sources.tables import shared_folder, written
 from .oracles import ORACLES, START
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
@@ -265,6 +266,28 @@ def _model(kind: str):  # noqa: ANN202
     return run
 
 
+def _paged(kind: str, epochs: int):  # noqa: ANN202
+    """Trained by pages of the training part; figures by class of the test part."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = written(_features(spark, d))
+        model = training.fit_pages(rows, kind, epochs)
+        return _rounded(ml.class_metrics(ml.confusion(model.transform(ml.split(rows, "test")))))
+
+    return run
+
+
+def training_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Mean loss of a training row by epoch: of the linear model and of the network."""
+    rows, root = written(_features(spark, d)), f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    out = None
+    for kind in ("sgd", "network"):
+        training.fit_pages(rows, kind, 5, path=f"{root}/{kind}")
+        one = training.history(spark, f"{root}/{kind}").select(F.lit(kind).alias("kind"), "epoch", F.round("loss", 6).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
     "simple_train_view": simple_train_view, "simple_base_lines": simple_base_lines, "top_waste_codes": top_waste_codes,
     "top_wasteline_numbers_semi": _top("line_no"), "top_facilities": _top("facility"), "top_generators": _top("generator"), "top_transporters": _top("transporter"),
@@ -276,4 +299,5 @@ QUERIES = {
     "split_counts": split_counts, "page_by_uid": page_by_uid, "category_levels": category_levels, "one_hot_simple": one_hot_simple, "transform_simple": transform_simple, "transform_graph": transform_graph,
     "confusion_matrix": confusion_matrix, "class_metrics": class_metrics, "overall_metrics": overall_metrics,
     "model_logistic": _model("logistic"), "model_bayes": _model("bayes"), "model_perceptron": _model("perceptron"),
+    "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses,
 }

@@ -213,6 +213,8 @@ metrics AS (
     coalesce(hit / nullif(CAST(support AS DOUBLE), 0), 0) AS recall
   FROM (SELECT label, CAST(sum(n) AS BIGINT) AS support, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hit FROM matrix GROUP BY label)
   FULL JOIN (SELECT prediction AS label, sum(n) AS guessed FROM matrix GROUP BY prediction) USING (label))"""
+#: Trained by pages, the prior is a class's share of the rows, as the counts alone give it.
+_BAYES_PAGES = _BAYES.replace("ln(count(*) + 1.0)", "ln(count(*))").replace(" + 3.0) AS p", ") AS p")
 _GRAPH_NUMBERS = ("uid", "year_quarter", "manifest_count", "waste_line_count", "total_waste_tons", "total_waste_kg", "unique_transporters_from_gf", *_GEN, *_TRN, *_BOTH, *_LAG_NAMES.split(", "), *[f"{c}_lag_1" for c in _MORE], *[f"{c}_qoq_delta" for c in _MORE], "lag_qty_sum", "qty_vs_lag_avg_ratio")
 
 
@@ -271,6 +273,7 @@ ORACLES = {
   SELECT row_number() OVER (ORDER BY node_type, business_id) AS id, node_type, business_id FROM nodes)""", """SELECT year, g.id AS generator_node_id, f.id AS facility_node_id, manifest_count FROM gf
   JOIN numbered g ON g.node_type = 'GENERATOR' AND g.business_id = generator JOIN numbered f ON f.node_type = 'FACILITY' AND f.business_id = facility"""),
     "model_bayes": _with(_SIMPLE, _BAYES, _METRICS),
+    "model_bayes_pages": _with(_SIMPLE, _BAYES_PAGES, _METRICS),
     "one_hot_simple": _with(_SIMPLE, f"SELECT uid, {_hot('mode_form_code', 'form', CATEGORIES['form_code'])} FROM simple"),
     "transform_simple": _with(_SIMPLE, f"SELECT uid, {', '.join(_FIRST)}, {_CLASS} AS label, {_HOTS} FROM simple WHERE {_COMPLETE}"),
     "transform_graph": _with(*_ALL_STAGED, _GRAPH, f"SELECT {', '.join(f'coalesce({c}, 0) AS {c}' if 'delta' in c else c for c in _GRAPH_NUMBERS)}, {_CLASS} AS label, {', '.join(_hot(c, c, CATEGORIES[c]) for c in ('management_code', 'form_code', 'source_code'))} FROM graph_view WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _GRAPH_NUMBERS if 'lag' in c)}"),

@@ -38,11 +38,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """df written to the shared folder and read back, so that what follows neither computes it again nor holds it
     in memory. The folder goes when the application ends."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
