@@ -32,14 +32,14 @@ def clock(seconds: float) -> str:
 
 def build_graph(spark: SparkSession, s: Shipments, root: str, mode: str = "all", force: bool = False, rebuild: bool = False, **tops: int) -> str:
     """Nodes, yearly edges and the pending quarters, as one run; returns its id."""
+    if rebuild and mode != "all":
+        raise ValueError("a rebuild takes both steps")
 
     def work(run: str) -> None:
-        if rebuild:
-            quarters.clear(spark, root)
         if mode != "stage":
             quarters.refresh_nodes(spark, s, root)
             quarters.refresh_years(spark, s, root)
-        quarters.build(spark, s, root, mode, force=force, run=run, **tops)
+        quarters.build(spark, s, root, mode, force=force, run=run, rebuild=rebuild, **tops)
 
     return quarters.tracked_run(spark, root, mode, work)
 
@@ -102,6 +102,7 @@ def main(argv: list[str] | None = None) -> int:
             out = ingest.run(spark, ingest.Settings.read(a.settings))
         elif a.job == "build":
             build_graph(spark, from_orders(spark, a.input), a.root, a.mode, a.force, a.rebuild)
+            quarters.states(spark, a.root).orderBy("year_quarter").show(1000)
             out = quarters.progress(spark, a.root)
         elif a.job == "views":
             out = build_views(spark, from_orders(spark, a.input), a.root)

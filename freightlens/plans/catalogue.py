@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import change_label, lag_ratio, lag_sum
 from ..operators import features, graph, ml, topn, training, upsert
+from ..sources import snapshots
 from ..sources.shipments import Shipments, from_orders
 from ..sources.tables import shared_folder, written
+from ..streaming import quarters
 from .oracles import ORACLES, START
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
@@ -171,6 +173,31 @@ def upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
     return upsert.upsert(old, new, ["node_type", "business_id"], ["business_name"])
 
 
+def upsert_nodes_into_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a table of buckets: made with the old nodes, then upserted."""
+    s, path, keys = from_orders(spark, d), f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}", ["node_type", "business_id"]
+    upsert.upsert_into(spark, path, graph.nodes(s, None).filter("business_id not like '%7'"), keys, ["business_name"])
+    new = graph.nodes(s, START).withColumn("business_name", F.upper("business_name")).withColumn("state_code", F.lit("??"))
+    upsert.upsert_into(spark, path, new, keys, ["business_name"])
+    return snapshots.read(spark, path).drop("bucket")
+
+
+def _built(spark: SparkSession, d: str) -> str:
+    """An incremental build's folder, after a load that found nothing staged."""
+    s, root = from_orders(spark, d), f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    for mode in ("load", "stage", "all"):
+        quarters.build(spark, s, root, mode, start=START, **TOPS)
+    return root
+
+
+def quarter_states(spark: SparkSession, d: str) -> DataFrame:
+    return quarters.states(spark, _built(spark, d))
+
+
+def edges_gf_built(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(quarters.edges(spark, _built(spark, d), "GF"))
+
+
 def key_checks(spark: SparkSession, d: str) -> DataFrame:
     """Keys that repeat and edges whose ends are missing; all must be 0."""
     s = from_orders(spark, d)
@@ -299,5 +326,6 @@ QUERIES = {
     "split_counts": split_counts, "page_by_uid": page_by_uid, "category_levels": category_levels, "one_hot_simple": one_hot_simple, "transform_simple": transform_simple, "transform_graph": transform_graph,
     "confusion_matrix": confusion_matrix, "class_metrics": class_metrics, "overall_metrics": overall_metrics,
     "model_logistic": _model("logistic"), "model_bayes": _model("bayes"), "model_perceptron": _model("perceptron"),
+    "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built,
     "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses,
 }

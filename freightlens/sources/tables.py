@@ -1,10 +1,10 @@
-"""Parquet tables: steps written once, whole partitions replaced, tables made where they are missing."""
+"""Parquet tables: steps written once, tables made where they are missing."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+def file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    """The Hadoop file system of a path, and the path as it takes it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     return fs.exists(p)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     fs.delete(p, True)
 
 
@@ -43,11 +44,20 @@ def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     in memory. The folder goes when the application ends."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Size of the files that a table just read consists of."""
+    total = 0
+    for f in df.inputFiles():
+        fs, p = file_system(df.sparkSession, f)
+        total += fs.getFileStatus(p).getLen()
+    return total
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The table at `path`, without rows before its first write."""
     try:
@@ -58,14 +68,6 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
         return spark.createDataFrame([], schema)
 
 
-def replace_partitions(df: DataFrame, path: str, by: str, values: Iterable) -> None:
-    """The rows of df in place of the partitions `values` of `path`: a partition that gets no rows is empty after
-    it, others stay. A run that breaks in between leaves partitions out until it is repeated."""
-    for v in values:
-        remove(df.sparkSession, f"{path}/{by}={v}")
-    df.write.mode("append").partitionBy(by).parquet(path)
-
-
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType | str, partition_by: Sequence[str] = (), bucket_by: Sequence[str] = (), buckets: int = 64) -> None:
     """Makes a catalog table, and its database, where there is none. Buckets take the place of an index on a key:
     joins and upserts on it need no shuffle of this side."""
