@@ -281,3 +281,10 @@ ORACLES = {
     "class_metrics": _with(_SIMPLE, _RULE, _METRICS),
     "overall_metrics": _with(_SIMPLE, _RULE, "SELECT round((SELECT sum(n) FROM matrix WHERE label = prediction) / (SELECT CAST(sum(n) AS DOUBLE) FROM matrix), 6) AS accuracy, round(avg(recall), 6) AS balanced_accuracy FROM metrics"),
 }
+
+#: Queries over built tables give the rows of those that compute all at once.
+ORACLES |= {
+    "upsert_nodes_into_buckets": ORACLES["upsert_nodes"],
+    "edges_gf_built": ORACLES["edges_gf_qtr"],
+    "quarter_states": _with(*_ALL_STAGED, "SELECT DISTINCT year_quarter, 'SUCCESS' AS stage, 'SUCCESS' AS load FROM staged"),
+}
