@@ -18,6 +18,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|data-label)\s*=
 _QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 _UNSHOWN = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none|display:none)""", re.I)
+_UNQUOTED_SLASH = re.compile(r"""=\s*[^\s"'>]*/$""")
 _MARK = re.compile(r'data-label="([01])"')
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _ENDS = re.compile(r"[.!?;:,。！？]")
@@ -128,7 +129,8 @@ class Tree:
             if name in SIBLING:
                 self._close_to(SIBLING[name], HOLDS[name])
             if name in RAW:
-                if not rest.endswith("/"):
+                # A slash ends foreign elements only, unless it belongs to a value without quotes.
+                if not (name in ("svg", "math") and rest.endswith("/") and not _UNQUOTED_SLASH.search(rest)):
                     close = after(rf"</{re.escape(name)}\s*>")
                     at = close.end() if close else len(page) if name in ("script", "style") else at
                 continue
@@ -142,9 +144,7 @@ class Tree:
                 continue
             if len(stack) == 1 and name not in BLOCK:
                 self._push(self._add(BARE, 0, ""))
-            node = self._add(name, stack[-1], rest)
-            if not rest.endswith("/"):
-                self._push(node)
+            self._push(self._add(name, stack[-1], rest))
 
     def _add(self, name: str, parent: int, rest: str) -> int:
         words, label, shown = 0, None, self.shown[parent]

@@ -125,3 +125,27 @@ def test_trees_are_kept(spark, trees):
     assert time.monotonic() - begin < 5 and len(again) == len(trees)
     x = unpacked(*Tree(Maker(77).page()).features())
     assert (extraction.scores(again, x) == extraction.scores(trees, x)).all()
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<script src=/js/>alert(1)</script><p>x", "x"), ("<script src='/js/'/>alert(1)</script><p>x", "x"),
+    ("<style media=screen/>p { color: red }</style><p>x", "x"), ("<textarea name=a/>typed</textarea><p>x", "x"),
+    ("<div hidden/>secret</div><p>x", "x"), ("<div style='display:none'/>secret</div><p>x", "x"),
+    ("<p>a<svg viewBox='0 0 1 1'/>b</p>", "ab"), ("<p>a<svg class=i/><title>no</title></svg>b</p>", "ab"), ("<p>a<math/>b</p>", "ab"),
+    ("<p>a<br/>b<hr/>c<img src=/x/>d<input value=/y/>e</p>", "a b cde"), ("<ul><li/>a<li/>b</ul>", "a b"),
+])
+def test_slashes_end_empty_elements_only(page, want):
+    t = Tree(page)
+    assert " ".join(t.text([True] * len(t.tag)).split()) == want
+
+
+def test_links_with_slashes_stay_in_their_menu():
+    t = Tree("<nav><ul><li><a href=/>Home</a><li><a href=/news/>News</a></ul></nav><article><p>Text</p></article>")
+    for k, tag in enumerate(t.tag):
+        if tag == "a":
+            above, at = [], k
+            while at > 0:
+                at = t.parent[at]
+                above.append(t.tag[at])
+            assert above == ["li", "ul", "nav", "html"]
+    assert t.text([tag not in ("nav", "ul", "li", "a") for tag in t.tag]) == "Text"
