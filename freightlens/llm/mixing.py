@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import WORD, discard, materialize, uniform
 
 BINS = 1024
+#: Parts in which equal rows are numbered, so that no task holds all of them.
+SALTS = 1024
 #: The columns that mixing adds.
 OWN = ("_size", "source_size", "target", "_copies")
 
@@ -112,7 +114,7 @@ def _cut(ranked: DataFrame) -> DataFrame:
     # One of the first two is missing where the cut falls at an end of the bin.
     return units.groupBy("_src").agg(
         F.min(F.when(~F.col("_taken"), at)).alias("_out"), F.max(F.when(F.col("_taken"), at)).alias("_in"),
-        F.max(F.when(split, at)).alias("_split"), F.max(F.when(split, (F.col("_left") - F.col("_upto") + F.col("_in")) / F.col("_in"))).alias("_share"),
+        F.max(F.when(split, at)).alias("_split"), F.max(F.when(split, (F.col("_left") - F.col("_upto") + F.col("_in")) / F.col("_in") * F.col("_n"))).alias("_wanted"),
     )
 
 
@@ -137,7 +139,7 @@ def plan(rows: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget: float =
     cut = materialize(_cut(ranked))
     none = classes.filter("_csize = 0").select("_src", "_class", "source_size", "target", F.lit(0).cast("bigint").alias("_whole"), F.lit(None).cast("double").alias("_by"), F.lit(0.0).alias("_left"))
     out = some.unionByName(none).alias("p").join(cut.alias("k"), F.col("p._src").eqNullSafe(F.col("k._src")), "left")
-    out = materialize(out.select(F.col("p._src").alias("_src"), "_class", "source_size", "target", "_whole", "_by", "_left", "_out", "_in", "_split", "_share"))
+    out = materialize(out.select(F.col("p._src").alias("_src"), "_class", "source_size", "target", "_whole", "_by", "_left", "_out", "_in", "_split", F.round("_wanted").cast("bigint").alias("_wanted")))
     discard(some, cut, by_source, sizes)
     return out
 
@@ -156,17 +158,34 @@ def mix_measured(rows: DataFrame, *, weights: Sequence[int] = (5, 2, 1), budget:
     discard(seen)
     at = F.struct(rank_of(F.col("_odds"), F.col("_by")).alias("_rank"), F.col("_id"))
     # A source without a cut wants no words beyond its whole copies.
-    part = F.when(at == F.col("_split"), (F.rand(17) < F.col("_share")).cast("int")).otherwise((at < F.col("_split")).cast("int"))
     taken = (
         F.when(F.col("_by").isNull(), 0)
-        .when(F.col("_split").isNotNull(), part)
+        .when(F.col("_split").isNotNull(), (at < F.col("_split")).cast("int"))
         .when(F.col("_in").isNotNull(), (at <= F.col("_in")).cast("int"))
         .when(F.col("_out").isNotNull(), (at < F.col("_out")).cast("int"))
         .otherwise(0)
     )
     out = rows.alias("r").join(p.alias("p"), F.col("r._src").eqNullSafe(F.col("p._src")) & (F.col("r._class") == F.col("p._class")), "left")
-    kept = [F.col("_row")[c].alias(c) for c in rows.schema["_row"].dataType.names if c not in OWN]
-    return out.select(*kept, "_size", "source_size", "target", (F.col("_whole") + taken).alias("_copies"))
+    names = [c for c in rows.schema["_row"].dataType.names if c not in OWN]
+    kept = [F.col("_row")[c].alias(c) for c in names]
+    figures = ["_size", "source_size", "target"]
+    if p.filter("_split is not null").isEmpty():
+        return out.select(*kept, *figures, (F.col("_whole") + taken).alias("_copies"))
+    inside = F.coalesce(F.col("_by").isNotNull() & (at == F.col("_split")), F.lit(False))
+    apart = out.filter(~inside).select(*kept, *figures, (F.col("_whole") + taken).alias("_copies"))
+    equal = materialize(out.filter(inside).select("_row", F.col("p._src").alias("_src"), *figures, "_whole", "_wanted", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt")))
+    return apart.unionByName(_first(equal).select(*kept, *figures, (F.col("_whole") + F.col("_first")).alias("_copies")))
+
+
+def _first(equal: DataFrame) -> DataFrame:
+    """equal: of each source the equal rows that the cut falls among, dealt into salts. _first is 1 for `_wanted` of them.
+    One row is like another, so any of them will do; their number is what reruns must agree on."""
+    sizes = equal.groupBy("_src", "_salt").agg(F.count("*").alias("_here"))
+    before = F.sum("_here").over(Window.partitionBy("_src").orderBy("_salt")) - F.col("_here")
+    sizes = sizes.select(F.col("_src").alias("_s"), F.col("_salt").alias("_t"), before.alias("_before"))
+    rows = equal.join(sizes, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_t")))
+    number = F.row_number().over(Window.partitionBy("_src", "_salt").orderBy(F.lit(0)))
+    return rows.withColumn("_first", (F.col("_before") + number <= F.col("_wanted")).cast("int"))
 
 
 def mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weights: Sequence[int] = (5, 2, 1), budget: float = 1.0, max_copies: int = 3, short_words: int = 64, seed: str = "mix-1") -> DataFrame:
@@ -176,11 +195,11 @@ def mix(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weigh
     the others of their source, so inclusion probabilities differ within a source.
     - null text: size 0, 0 copies. Null source: a source of its own, last in order.
     - repeated or null doc_id: rows of different texts are drawn apart. Rows of one id and one text share a random
-      number; where the cut falls among them, about the part of them that is wanted is taken.
+      number; where the cut falls among them, as many as come nearest to the target are taken.
     - ties of rank: by doc_id. Very long texts are counted whole. Empty table: empty result.
     - columns of docs are kept but for those named _size, source_size, target and _copies, which are replaced.
     A source's taken words differ from its target by at most half the size of the document at the
-    cut (somewhat more where the cut falls among equal rows), unless its target is 0 or it has no words.
+    cut, unless its target is 0 or it has no words.
     """
     rows = measured(docs, doc_id=doc_id, text=text, source=source, short_words=short_words, seed=seed)
     return mix_measured(rows, weights=weights, budget=budget, max_copies=max_copies)
