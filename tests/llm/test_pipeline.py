@@ -55,6 +55,15 @@ def test_language_keeps_unsure_and_unlabelled_documents(spark):
         assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
 
 
+def test_language_puts_labels_right(spark):
+    """The label counts: wrong ones and nulls get the language of the text."""
+    words = {"aa": "alba kora mentu sil oro", "bb": "zwick prunt gethel obder strak"}
+    rows = [(k, " ".join(words[g].split()[k % 4 :] + words[g].split()), g) for g in words for k in range(40)]
+    rows += [(100, words["aa"], "bb"), (101, words["bb"], None), (102, words["aa"], None), (103, "12 34", "aa"), (104, words["bb"], "aa")]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").filter("doc_id >= 100").collect()}
+    assert got == {100: "aa", 101: "bb", 102: "aa", 104: "bb"}
+
+
 CLASHING = ("_spans", "target", "_size", "_row", "_rk", "rk", "node", "key", "lang_pred", "score", "_doc", "_copies")
 
 
