@@ -1,7 +1,9 @@
-"""Commands: ingest a database, build the graph, write the feature views, train and evaluate a model.
+"""Commands: ingest a database, build the graph, follow a stream of lines, write the feature views, train and evaluate a
+model.
 
     python -m freightlens.jobs ingest settings.yaml
     python -m freightlens.jobs build --input DIR --root DIR [--mode stage|load|all] [--force] [--rebuild]
+    python -m freightlens.jobs follow --lines DIR --root DIR --checkpoint DIR [--wait "100 days"]
     python -m freightlens.jobs views --input DIR --root DIR
     python -m freightlens.jobs train --root DIR --view simple|graph --kind logistic|bayes|perceptron|sgd|network|pages [--epochs N]
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .operators import features, ml, training
 from .sources import ingest
 from .sources.shipments import Shipments, from_orders
-from .streaming import quarters
+from .streaming import edges, quarters
 
 #: The categories that are one-hot encoded in each view.
 CATEGORIES = {"simple": ("waste_code", "mode_form_code", "mode_source_code"), "graph": ("management_code", "form_code", "source_code")}
@@ -88,6 +90,10 @@ def main(argv: list[str] | None = None) -> int:
             j.add_argument("--mode", choices=(*quarters.STEPS, "all"), default="all")
             j.add_argument("--force", action="store_true")
             j.add_argument("--rebuild", action="store_true")
+    j = jobs.add_parser("follow")
+    for name in ("lines", "root", "checkpoint"):
+        j.add_argument(f"--{name}", required=True)
+    j.add_argument("--wait", default=edges.WAIT)
     j = jobs.add_parser("train")
     j.add_argument("--root", required=True)
     j.add_argument("--view", choices=tuple(CATEGORIES), default="simple")
@@ -104,6 +110,10 @@ def main(argv: list[str] | None = None) -> int:
             build_graph(spark, from_orders(spark, a.input), a.root, a.mode, a.force, a.rebuild)
             quarters.states(spark, a.root).orderBy("year_quarter").show(1000)
             out = quarters.progress(spark, a.root)
+        elif a.job == "follow":
+            lines = spark.readStream.schema(spark.read.parquet(a.lines).schema).parquet(a.lines)
+            edges.take_in(lines, a.root, a.checkpoint, a.wait)
+            out = edges.late_rows(spark, a.root)
         elif a.job == "views":
             out = build_views(spark, from_orders(spark, a.input), a.root)
         else:

@@ -17,7 +17,7 @@ from ..operators import features, graph, ml, topn, training, upsert
 from ..sources import snapshots
 from ..sources.shipments import Shipments, from_orders
 from ..sources.tables import shared_folder, written
-from ..streaming import quarters
+from ..streaming import edges, quarters
 from .oracles import ORACLES, START
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
@@ -198,6 +198,17 @@ def edges_gf_built(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(quarters.edges(spark, _built(spark, d), "GF"))
 
 
+def edges_gf_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """GF edges of a stream of all staged lines, of the quarters that have closed by its end: all but the last two."""
+    s, root = from_orders(spark, d), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    tops = {k: written(t) for k, t in graph.top_filters(s, START, **TOPS).items()}
+    staged = written(graph.stage_lines(s, tops, START))
+    fed = edges.feed(staged, graph.stage_carriers(s, staged, tops))
+    fed.write.parquet(f"{root}/in")
+    edges.take_in(spark.readStream.schema(fed.schema).parquet(f"{root}/in"), root, f"{root}/checkpoint", kinds=("GF",))
+    return _rounded(edges.closed_edges(spark, root, "GF"))
+
+
 def key_checks(spark: SparkSession, d: str) -> DataFrame:
     """Keys that repeat and edges whose ends are missing; all must be 0."""
     s = from_orders(spark, d)
@@ -326,6 +337,6 @@ QUERIES = {
     "split_counts": split_counts, "page_by_uid": page_by_uid, "category_levels": category_levels, "one_hot_simple": one_hot_simple, "transform_simple": transform_simple, "transform_graph": transform_graph,
     "confusion_matrix": confusion_matrix, "class_metrics": class_metrics, "overall_metrics": overall_metrics,
     "model_logistic": _model("logistic"), "model_bayes": _model("bayes"), "model_perceptron": _model("perceptron"),
-    "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built,
+    "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built, "edges_gf_streamed": edges_gf_streamed,
     "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses,
 }

@@ -286,5 +286,7 @@ ORACLES = {
 ORACLES |= {
     "upsert_nodes_into_buckets": ORACLES["upsert_nodes"],
     "edges_gf_built": ORACLES["edges_gf_qtr"],
+    "edges_gf_streamed": _with(*_ALL_STAGED, f"""SELECT * FROM ({_quarter_sql("GF")}) WHERE year_quarter NOT IN (
+  SELECT DISTINCT year_quarter FROM staged ORDER BY year_quarter DESC LIMIT 2)"""),
     "quarter_states": _with(*_ALL_STAGED, "SELECT DISTINCT year_quarter, 'SUCCESS' AS stage, 'SUCCESS' AS load FROM staged"),
 }
