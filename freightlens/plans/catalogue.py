@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import change_label, lag_ratio, lag_sum
-from ..operators import features, graph, ml, topn, training, upsert
+from ..operators import constraints, features, graph, ml, topn, training, upsert
 from ..sources import snapshots
 from ..sources.shipments import Shipments, from_orders
 from ..sources.tables import shared_folder, written
@@ -222,6 +222,19 @@ def key_checks(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def constraint_checks(spark: SparkSession, d: str) -> DataFrame:
+    """All keys and references of the graph, whose tables are written first."""
+    s = from_orders(spark, d)
+    tops = {k: written(t) for k, t in graph.top_filters(s, START, **TOPS).items()}
+    staged = written(graph.stage_lines(s, tops, START))
+    carriers = written(graph.stage_carriers(s, staged, tops))
+    tables = {"nodes": written(nodes_numbered(spark, d)), "streams": written(graph.waste_streams(staged))}
+    for kind in ("GF", "GT", "TF"):
+        tables[f"years_{kind.lower()}"] = written(graph.year_edges(s, kind, START))
+        tables[f"quarters_{kind.lower()}"] = written(graph.quarter_edges(staged, carriers, kind))
+    return constraints.check(tables | {f"top_{k}": t for k, t in tops.items()}, constraints.graph_constraints())
+
+
 def _simple(spark: SparkSession, d: str) -> DataFrame:
     return features.simple_view(from_orders(spark, d), codes=3, **VIEW)
 
@@ -240,8 +253,13 @@ def _domains(s: Shipments) -> dict[str, list[str]]:
 
 
 def category_levels(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(c, v) for c, values in _domains(from_orders(spark, d)).items() for v in values]
-    return spark.createDataFrame(rows, "category string, level string")
+    s = from_orders(spark, d)
+    every = [(s.federal_codes, "code", "waste_code"), *[(s.lines, c, c) for c in ("management_code", "form_code", "source_code")]]
+    out = None
+    for df, column, name in every:
+        one = df.select(F.lit(name).alias("category"), F.col(column).cast("string").alias("level")).filter("level is not null").distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def edges_with_node_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -337,6 +355,6 @@ QUERIES = {
     "split_counts": split_counts, "page_by_uid": page_by_uid, "category_levels": category_levels, "one_hot_simple": one_hot_simple, "transform_simple": transform_simple, "transform_graph": transform_graph,
     "confusion_matrix": confusion_matrix, "class_metrics": class_metrics, "overall_metrics": overall_metrics,
     "model_logistic": _model("logistic"), "model_bayes": _model("bayes"), "model_perceptron": _model("perceptron"),
-    "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built, "edges_gf_streamed": edges_gf_streamed,
+    "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built, "edges_gf_streamed": edges_gf_streamed, "constraint_checks": constraint_checks,
     "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses,
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
+from ..operators.constraints import Key, Reference, graph_constraints
+
 START = date(1996, 1, 1)
 #: The values of the categories in the order tables, in order.
 CATEGORIES = {
@@ -290,3 +292,25 @@ ORACLES |= {
   SELECT DISTINCT year_quarter FROM staged ORDER BY year_quarter DESC LIMIT 2)"""),
     "quarter_states": _with(*_ALL_STAGED, "SELECT DISTINCT year_quarter, 'SUCCESS' AS stage, 'SUCCESS' AS load FROM staged"),
 }
+
+
+def _checked(c: Key | Reference, table: dict[str, str]) -> str:
+    """One constraint's rows and faults; `table` has the names that tables go by here."""
+    names = [p for p in c.columns if isinstance(p, str)]
+    whole = " AND ".join(f"{n} IS NOT NULL" for n in names)
+    if isinstance(c, Reference):
+        same = " AND ".join(f"p.{q} = {repr(p[0]) if isinstance(p, tuple) else 't.' + p}" for p, q in zip(c.columns, c.parent_columns))
+        bad = f"count(*) FILTER ({whole} AND NOT EXISTS (SELECT 1 FROM {table[c.parent]} p WHERE {same}))"
+        return f"""SELECT '{c.name}' AS "constraint", 'reference' AS kind, count(*) AS rows, {bad} AS bad FROM {table[c.table]} t"""
+    nulls = f" + count(*) FILTER (NOT ({whole}))" if c.primary else ""
+    more = f"CAST(coalesce((SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM {table[c.table]} WHERE {whole} GROUP BY {', '.join(names)})), 0) AS BIGINT)"
+    return f"""SELECT '{c.name}' AS "constraint", '{"primary" if c.primary else "unique"}' AS kind, count(*) AS rows, {more}{nulls} AS bad FROM {table[c.table]}"""
+
+
+_TABLES_OF = {"nodes": "nodes_numbered", "streams": "streams", "top_line_no": "top_line", **{f"top_{c}": f"top_{c}" for c in ("facility", "generator", "transporter")}}
+_TABLES_OF |= {f"{t}_{k}": f"{t}_{k}" for t in ("years", "quarters") for k in ("gf", "gt", "tf")}
+ORACLES["constraint_checks"] = _with(
+    _PER, _NODES, *_ALL_STAGED, _STREAMS, "nodes_numbered AS (SELECT row_number() OVER (ORDER BY node_type, business_id) AS graph_node_id, * FROM nodes)",
+    *[f"{t}_{k.lower()} AS MATERIALIZED ({sql(k)})" for t, sql in (("years", _year_sql), ("quarters", _quarter_sql)) for k in ("GF", "GT", "TF")],
+    " UNION ALL ".join(_checked(c, _TABLES_OF) for c in graph_constraints()),
+)
