@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import change_label, lag_ratio, lag_sum
-from ..operators import constraints, features, graph, ml, topn, training, upsert
+from ..operators import constraints, features, graph, ml, sparse, topn, training, upsert
 from ..sources import snapshots
 from ..sources.shipments import Shipments, from_orders
 from ..sources.tables import shared_folder, written
@@ -344,6 +344,26 @@ def training_losses(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _sparse(spark: SparkSession, d: str):  # noqa: ANN202
+    """Rows of the simple view with the places of their categories, these, and their numbers of levels."""
+    s = from_orders(spark, d)
+    table = sparse.levels({"waste_code": (s.federal_codes, "code"), "mode_form_code": (s.lines, "form_code"), "mode_source_code": (s.lines, "source_code")})
+    names = ["waste_code", "mode_form_code", "mode_source_code"]
+    rows = sparse.complete_rows(features.simple_view(s, codes=3, **VIEW), names)
+    return sparse.with_places(rows, table, names), names, sparse.sizes(table)
+
+
+def sparse_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Features that are not 0, by row and index."""
+    return _rounded(sparse.entries(*_sparse(spark, d)))
+
+
+def model_bayes_sparse(spark: SparkSession, d: str) -> DataFrame:
+    placed, names, n = _sparse(spark, d)
+    rows = written(sparse.features(ml.clamp(placed, sparse.numbers_of(placed, names)), names, n))
+    return _rounded(ml.class_metrics(ml.confusion(sparse.fit(ml.split(rows, "train"), "bayes").transform(ml.split(rows, "test")))))
+
+
 QUERIES = {
     "simple_train_view": simple_train_view, "simple_base_lines": simple_base_lines, "top_waste_codes": top_waste_codes,
     "top_wasteline_numbers_semi": _top("line_no"), "top_facilities": _top("facility"), "top_generators": _top("generator"), "top_transporters": _top("transporter"),
@@ -356,5 +376,5 @@ QUERIES = {
     "confusion_matrix": confusion_matrix, "class_metrics": class_metrics, "overall_metrics": overall_metrics,
     "model_logistic": _model("logistic"), "model_bayes": _model("bayes"), "model_perceptron": _model("perceptron"),
     "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built, "edges_gf_streamed": edges_gf_streamed, "constraint_checks": constraint_checks,
-    "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses,
+    "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses, "sparse_entries": sparse_entries, "model_bayes_sparse": model_bayes_sparse,
 }
