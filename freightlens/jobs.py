@@ -1,10 +1,11 @@
-"""Commands: ingest a database, build the graph, follow a stream of lines, write the feature views, train and evaluate a
-model.
+"""Commands: ingest a database, build the graph, follow a stream of lines, write the feature views, pack them into pages,
+train and evaluate a model.
 
     python -m freightlens.jobs ingest settings.yaml
     python -m freightlens.jobs build --input DIR --root DIR [--mode stage|load|all] [--force] [--rebuild]
     python -m freightlens.jobs follow --lines DIR --root DIR --checkpoint DIR [--wait "100 days"]
     python -m freightlens.jobs views --input DIR --root DIR
+    python -m freightlens.jobs pages --root DIR --view simple|graph --part train|validation|test [--size N]
     python -m freightlens.jobs train --root DIR --view simple|graph --kind logistic|bayes|perceptron|sgd|network|pages [--epochs N]
 
 They end with 0, with 1 after an error and with 130 after an interruption.
@@ -59,13 +60,18 @@ def build_views(spark: SparkSession, s: Shipments, root: str, simple: dict | Non
     return spark.createDataFrame(done, "view string, rows bigint, seconds double")
 
 
+def prepared(spark: SparkSession, root: str, view: str) -> DataFrame:
+    """A written view as uid, label and features."""
+    rows = spark.read.parquet(f"{root}/views/{view}")
+    prepare = {"simple": ml.transform_simple, "graph": lambda df, d: ml.transform_graph(df.drop("year", "quarter"), d)}[view]
+    return prepare(rows, ml.domains(rows, CATEGORIES[view]))
+
+
 def train(spark: SparkSession, root: str, view: str, kind: str, again: bool = False, epochs: int = 10, batches: int = 1) -> DataFrame:
     """Reads a written view, discovers the levels of its categories, fits and keeps a model on the training part or
     takes the one that is kept, and writes the test part's confusion matrix and figures by class. Returns the latter.
     Kinds that train by pages go on from the last epoch that is kept, up to `epochs`."""
-    rows = spark.read.parquet(f"{root}/views/{view}")
-    prepare = {"simple": ml.transform_simple, "graph": lambda df, d: ml.transform_graph(df.drop("year", "quarter"), d)}[view]
-    rows = prepare(rows, ml.domains(rows, CATEGORIES[view]))
+    rows = prepared(spark, root, view)
     if kind == "bayes":
         rows = ml.clamp(rows, ml.features_of(rows))
     path = f"{root}/models/{view}-{kind}"
@@ -78,6 +84,16 @@ def train(spark: SparkSession, root: str, view: str, kind: str, again: bool = Fa
     return ingest.materialized(ml.class_metrics(matrix), f"{path}/metrics", f"{view}_{kind}_metrics")
 
 
+def pages(spark: SparkSession, root: str, view: str, part: str, size: int = 1000) -> DataFrame:
+    """All pages of a part of a written view for a loader, a page a row in order of its number, in `pages`. Returns the
+    numbers of pages and rows."""
+    rows = prepared(spark, root, view)
+    path = f"{root}/pages/{view}-{part}"
+    packed = training.packed(rows, [c for c in rows.columns if c not in ("uid", "label")], part, size)
+    packed.drop("batch").repartitionByRange("page").sortWithinPartitions("page").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("uid")).alias("rows"))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="freightlens")
     jobs = p.add_subparsers(dest="job", required=True)
@@ -101,6 +117,11 @@ def main(argv: list[str] | None = None) -> int:
     j.add_argument("--again", action="store_true")
     j.add_argument("--epochs", type=int, default=10)
     j.add_argument("--batches", type=int, default=1)
+    j = jobs.add_parser("pages")
+    j.add_argument("--root", required=True)
+    j.add_argument("--view", choices=tuple(CATEGORIES), default="simple")
+    j.add_argument("--part", choices=tuple(ml.SPLITS), default="train")
+    j.add_argument("--size", type=int, default=1000)
     a, begin = p.parse_args(argv), time.monotonic()
     spark = SparkSession.builder.appName("freightlens").getOrCreate()
     try:
@@ -114,6 +135,8 @@ def main(argv: list[str] | None = None) -> int:
             lines = spark.readStream.schema(spark.read.parquet(a.lines).schema).parquet(a.lines)
             edges.take_in(lines, a.root, a.checkpoint, a.wait)
             out = edges.late_rows(spark, a.root)
+        elif a.job == "pages":
+            out = pages(spark, a.root, a.view, a.part, a.size)
         elif a.job == "views":
             out = build_views(spark, from_orders(spark, a.input), a.root)
         else:

@@ -182,20 +182,21 @@ def upsert_nodes_into_buckets(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.read(spark, path).drop("bucket")
 
 
-def _built(spark: SparkSession, d: str) -> str:
-    """An incremental build's folder, after a load that found nothing staged."""
+def _built(spark: SparkSession, d: str, modes: tuple[str, ...]) -> str:
+    """The folder of an incremental build that takes these steps."""
     s, root = from_orders(spark, d), f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    for mode in ("load", "stage", "all"):
+    for mode in modes:
         quarters.build(spark, s, root, mode, start=START, **TOPS)
     return root
 
 
 def quarter_states(spark: SparkSession, d: str) -> DataFrame:
-    return quarters.states(spark, _built(spark, d))
+    """The state of each quarter after a load that finds nothing staged, a staging, and both steps."""
+    return quarters.states(spark, _built(spark, d, ("load", "stage", "all")))
 
 
 def edges_gf_built(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(quarters.edges(spark, _built(spark, d), "GF"))
+    return _rounded(quarters.edges(spark, _built(spark, d, ("all",)), "GF"))
 
 
 def edges_gf_streamed(spark: SparkSession, d: str) -> DataFrame:
@@ -247,6 +248,11 @@ def page_by_uid(spark: SparkSession, d: str) -> DataFrame:
     return ml.page(_simple(spark, d).select("uid", "facility", "waste_code", "year_quarter"), 100, 2)
 
 
+def page_of_train(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of 100 rows of the training part, by its bounds."""
+    return training.part_page(_simple(spark, d).select("uid", "facility", "waste_code", "year_quarter"), "train", 100, 2)
+
+
 def _domains(s: Shipments) -> dict[str, list[str]]:
     """The values of each category over all lines and codes."""
     return {"waste_code": ml.levels(s.federal_codes, "code"), **ml.domains(s.lines, ["management_code", "form_code", "source_code"])}
@@ -376,5 +382,5 @@ QUERIES = {
     "confusion_matrix": confusion_matrix, "class_metrics": class_metrics, "overall_metrics": overall_metrics,
     "model_logistic": _model("logistic"), "model_bayes": _model("bayes"), "model_perceptron": _model("perceptron"),
     "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built, "edges_gf_streamed": edges_gf_streamed, "constraint_checks": constraint_checks,
-    "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses, "sparse_entries": sparse_entries, "model_bayes_sparse": model_bayes_sparse,
+    "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses, "page_of_train": page_of_train, "sparse_entries": sparse_entries, "model_bayes_sparse": model_bayes_sparse,
 }

@@ -284,6 +284,7 @@ ORACLES = {
     "overall_metrics": _with(_SIMPLE, _RULE, "SELECT round((SELECT sum(n) FROM matrix WHERE label = prediction) / (SELECT CAST(sum(n) AS DOUBLE) FROM matrix), 6) AS accuracy, round(avg(recall), 6) AS balanced_accuracy FROM metrics"),
 }
 
+ORACLES["page_of_train"] = _with(_SIMPLE, "SELECT uid, facility, waste_code, year_quarter FROM simple WHERE uid % 100 < 70 ORDER BY uid LIMIT 100 OFFSET 200")
 ORACLES["model_bayes_sparse"] = ORACLES["model_bayes"]
 ORACLES["sparse_entries"] = _with(_SIMPLE, f"""feat AS (SELECT uid, [{", ".join(f"CAST({c} AS DOUBLE)" for c in _FEATURES)}] AS x
   FROM (SELECT uid, {", ".join(_FIRST)}, {_HOTS} FROM simple WHERE {_COMPLETE}))""", f"""SELECT uid, CAST(i AS INT) AS "index", round(v, 6) AS "value"

@@ -50,11 +50,22 @@ def test_query_equals_sql(spark, name):
     check(spark, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+#: Without SQL: figures by class of trained models, and losses by epoch (tests/test_training.py has the numpy versions).
+PLAIN = sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES))
+
+
+@pytest.mark.parametrize("name", [n for n in PLAIN if n != "training_losses"])
 def test_models_report_every_class(spark, name):
     rows = catalogue.QUERIES[name](spark, SF).collect()
     assert {r.label for r in rows} <= {0, 1, 2} and rows and all(0 <= r.f1 <= 1 for r in rows)
 
 
+def test_losses_fall(spark):
+    rows = catalogue.QUERIES["training_losses"](spark, "/root/testdata/sf0.001").collect()
+    for kind in ("sgd", "network"):
+        losses = [r.loss for r in sorted(rows, key=lambda r: r.epoch) if r.kind == kind]
+        assert len(losses) == 5 and losses[-1] < losses[0]
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
