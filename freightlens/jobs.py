@@ -1,11 +1,12 @@
 """Commands: ingest a database, build the graph, follow a stream of lines, write the feature views, pack them into pages,
-train and evaluate a model.
+train and evaluate a model, put the graph and the views into a database.
 
     python -m freightlens.jobs ingest settings.yaml
     python -m freightlens.jobs build --input DIR --root DIR [--mode stage|load|all] [--force] [--rebuild]
     python -m freightlens.jobs follow --lines DIR --root DIR --checkpoint DIR [--wait "100 days"]
     python -m freightlens.jobs views --input DIR --root DIR
     python -m freightlens.jobs pages --root DIR --view simple|graph --part train|validation|test [--size N]
+    python -m freightlens.jobs export --root DIR --url JDBC_URL --schema NAME --batch ID [--mode replace|add]
     python -m freightlens.jobs train --root DIR --view simple|graph --kind logistic|bayes|perceptron|sgd|network|pages [--epochs N]
 
 They end with 0, with 1 after an error and with 130 after an interruption.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import features, ml, training
-from .sources import ingest
+from .sources import database, ingest
 from .sources.shipments import Shipments, from_orders
 from .streaming import edges, quarters
 
@@ -94,6 +95,19 @@ def pages(spark: SparkSession, root: str, view: str, part: str, size: int = 1000
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("uid")).alias("rows"))
 
 
+def export(spark: SparkSession, root: str, url: str, schema: str, batch: str, mode: str = "replace", pause: float = 5.0) -> DataFrame:
+    """Puts nodes, streams, edges and the written views into tables of a database, each by one transaction. Per table: its
+    rows in this batch. Run again with the same batch, it goes on with the tables that are not there yet."""
+    tables = {t: quarters.latest(spark, root, t)[1] for t in ("nodes", "streams", *(f"years_{k.lower()}" for k in quarters.KINDS))}
+    tables |= {f"edges_{k.lower()}": quarters.edges(spark, root, k) for k in quarters.KINDS}
+    tables |= {f"{v}_train_view": spark.read.parquet(f"{root}/views/{v}") for v in CATEGORIES}
+    done = []
+    for name, df in tables.items():
+        if df is not None:
+            done.append((name, batch, ingest.attempts(lambda: database.put(df, url, schema, name, batch, mode=mode, pause=pause), pause=pause)))  # noqa: B023
+    return spark.createDataFrame(done, "table string, batch string, rows bigint")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="freightlens")
     jobs = p.add_subparsers(dest="job", required=True)
@@ -122,6 +136,10 @@ def main(argv: list[str] | None = None) -> int:
     j.add_argument("--view", choices=tuple(CATEGORIES), default="simple")
     j.add_argument("--part", choices=tuple(ml.SPLITS), default="train")
     j.add_argument("--size", type=int, default=1000)
+    j = jobs.add_parser("export")
+    for name in ("root", "url", "schema", "batch"):
+        j.add_argument(f"--{name}", required=True)
+    j.add_argument("--mode", choices=database.MODES, default="replace")
     a, begin = p.parse_args(argv), time.monotonic()
     spark = SparkSession.builder.appName("freightlens").getOrCreate()
     try:
@@ -135,6 +153,8 @@ def main(argv: list[str] | None = None) -> int:
             lines = spark.readStream.schema(spark.read.parquet(a.lines).schema).parquet(a.lines)
             edges.take_in(lines, a.root, a.checkpoint, a.wait)
             out = edges.late_rows(spark, a.root)
+        elif a.job == "export":
+            out = export(spark, a.root, a.url, a.schema, a.batch, a.mode)
         elif a.job == "pages":
             out = pages(spark, a.root, a.view, a.part, a.size)
         elif a.job == "views":

@@ -16,9 +16,9 @@ from ..functions.exprs import change_label, lag_ratio, lag_sum
 from ..operators import constraints, features, graph, ml, sparse, topn, training, upsert
 from ..sources import snapshots
 from ..sources.shipments import Shipments, from_orders
-from ..sources.tables import shared_folder, written
+from ..sources.tables import row_counts, shared_folder, written
 from ..streaming import edges, quarters
-from .oracles import ORACLES, START
+from .oracles import ORACLES, START, TABLES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
@@ -370,6 +370,11 @@ def model_bayes_sparse(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ml.class_metrics(ml.confusion(sparse.fit(ml.split(rows, "train"), "bayes").transform(ml.split(rows, "test")))))
 
 
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of rows of the source tables, from the footers of their files."""
+    return row_counts({t: spark.read.parquet(f"{d}/{t}.parquet") for t in TABLES})
+
+
 QUERIES = {
     "simple_train_view": simple_train_view, "simple_base_lines": simple_base_lines, "top_waste_codes": top_waste_codes,
     "top_wasteline_numbers_semi": _top("line_no"), "top_facilities": _top("facility"), "top_generators": _top("generator"), "top_transporters": _top("transporter"),
@@ -383,4 +388,5 @@ QUERIES = {
     "model_logistic": _model("logistic"), "model_bayes": _model("bayes"), "model_perceptron": _model("perceptron"),
     "upsert_nodes_into_buckets": upsert_nodes_into_buckets, "quarter_states": quarter_states, "edges_gf_built": edges_gf_built, "edges_gf_streamed": edges_gf_streamed, "constraint_checks": constraint_checks,
     "model_bayes_pages": _paged("pages", 1), "model_sgd": _paged("sgd", 10), "model_network": _paged("network", 10), "training_losses": training_losses, "page_of_train": page_of_train, "sparse_entries": sparse_entries, "model_bayes_sparse": model_bayes_sparse,
+    "table_rows": table_rows,
 }

@@ -7,6 +7,8 @@ from datetime import date
 from ..operators.constraints import Key, Reference, graph_constraints
 
 START = date(1996, 1, 1)
+#: The tables that shipments are made of.
+TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem")
 #: The values of the categories in the order tables, in order.
 CATEGORIES = {
     "waste_code": ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"),
@@ -298,6 +300,7 @@ ORACLES |= {
   SELECT DISTINCT year_quarter FROM staged ORDER BY year_quarter DESC LIMIT 2)"""),
     "quarter_states": _with(*_ALL_STAGED, "SELECT DISTINCT year_quarter, 'SUCCESS' AS stage, 'SUCCESS' AS load FROM staged"),
 }
+ORACLES["table_rows"] = " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS n_rows FROM {t}""" for t in TABLES)
 
 
 def _checked(c: Key | Reference, table: dict[str, str]) -> str:

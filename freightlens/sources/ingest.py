@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, fields
 from pathlib import Path
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import file_system, remove
+
 # Type names of the source database and what they are read as.
 _PLAIN = {
     "int": T.IntegerType(), "bigint": T.LongType(), "smallint": T.ShortType(), "tinyint": T.ShortType(), "bit": T.BooleanType(), "float": T.DoubleType(), "real": T.FloatType(),
@@ -36,6 +39,8 @@ class Settings:
     target: str
     fetch_size: int = 5000
     truncate_before_load: bool = True
+    #: Asks a source of another kind for its own estimate of a table's rows; {schema} and {table} stand for quoted text.
+    estimate_query: str = ""
 
     @classmethod
     def of(cls, given: Mapping) -> Settings:
@@ -101,7 +106,9 @@ def schema_of(spark: SparkSession, s: Settings, table: str) -> T.StructType:
 def estimate(spark: SparkSession, s: Settings, table: str) -> int | None:
     """None where the source does not tell."""
     try:
-        return query_reader(spark, s, count_query(s.schema, table)).load().first()[0]
+        asked = s.estimate_query.format(schema=text(s.schema), table=text(table)) if s.estimate_query else count_query(s.schema, table)
+        found = query_reader(spark, s, asked).load().first()
+        return None if found is None or found[0] is None else int(found[0])
     except (Py4JError, PySparkException):
         return None
 
@@ -129,6 +136,23 @@ def land(df: DataFrame, path: str, truncate: bool = True) -> None:
     df.write.mode("overwrite" if truncate else "append").parquet(path)
 
 
+def add_load(df: DataFrame, path: str, load: str) -> int:
+    """Adds df to what `path` holds, as files that bear the load's name; returns its rows. The same load done again takes the
+    place of what an attempt before it has left, so a retry doubles nothing. Rows are counted from what was written."""
+    spark, staged = df.sparkSession, f"{path}/_load-{load}"
+    df.write.mode("overwrite").parquet(staged)
+    n = spark.read.schema(df.schema).parquet(staged).count()
+    fs, to = file_system(spark, path)
+    for s in fs.listStatus(to):
+        if s.getPath().getName().startswith(f"{load}-"):
+            fs.delete(s.getPath(), False)
+    for s in fs.listStatus(file_system(spark, staged)[1]):
+        if (file := s.getPath().getName()).startswith("part-") and not fs.rename(s.getPath(), file_system(spark, f"{path}/{load}-{file}")[1]):
+            raise PySparkException(f"{file} of load {load} could not be put into {path}")
+    remove(spark, staged)
+    return n
+
+
 def land_csv(df: DataFrame, path: str, truncate: bool = True) -> None:
     """Nulls as \\N, bytes as \\x and hex digits."""
     binary = [f.name for f in df.schema if isinstance(f.dataType, T.BinaryType)]
@@ -147,24 +171,28 @@ def attempts(work: Callable[[], object], tries: int = 3, pause: float = 5.0) ->
             time.sleep(pause)
 
 
-def copy(spark: SparkSession, s: Settings, table: str, parts: int = 64) -> int:
-    """Lands one table with the types of its catalog, in ranges of its first whole-number column; returns its rows."""
+def copy(spark: SparkSession, s: Settings, table: str, parts: int = 64, load: str = "") -> int:
+    """Lands one table with the types of its catalog, in ranges of its first whole-number column; returns the rows of
+    this load. Where the target is not truncated, a load of the same name replaces its own rows only."""
     schema = schema_of(spark, s, table)
     key = next((f.name for f in schema if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)) and not f.nullable), None)
     rows = table_reader(spark, s, table, key, bounds_of(spark, s, table, key) if key else None, parts).load()
     rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
-    land(rows, f"{s.target}/{table}", s.truncate_before_load)
-    return spark.read.parquet(f"{s.target}/{table}").count()
+    path = f"{s.target}/{table}"
+    if not s.truncate_before_load:
+        return add_load(rows, path, load or uuid.uuid4().hex)
+    land(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).count()
 
 
 def run(spark: SparkSession, s: Settings, pause: float = 5.0) -> DataFrame:
     """Copies every table of the schema. Per table: the source's estimate, the rows landed, status, error, seconds.
     A table that fails three times does not keep the others from being copied."""
-    done = []
+    done, load = [], uuid.uuid4().hex
     for table in tables_of(spark, s):
         begin, rows, error = time.monotonic(), None, None
         try:
-            rows = attempts(lambda: copy(spark, s, table), pause=pause)  # noqa: B023
+            rows = attempts(lambda: copy(spark, s, table, load=load), pause=pause)  # noqa: B023
         except (Py4JError, PySparkException) as e:
             error = str(e)[:500]
         done.append((table, estimate(spark, s, table), rows, "FAILED" if error else "SUCCESS", error, time.monotonic() - begin))
