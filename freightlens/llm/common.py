@@ -48,10 +48,19 @@ def discard(*tables: DataFrame) -> None:
                 remove(spark, path)
 
 
+def key_hash(key: Column) -> Column:
+    """62 bits of a key's hash."""
+    return F.xxhash64(key).bitwiseAND(F.lit(2**62 - 1))
+
+
+def hash_limit(most: int, n: int) -> int:
+    """About `most` of n keys have a `key_hash` below it. It stays above 0 up to some 10**18 times more keys than are wanted."""
+    return min(2**62, most * 2**62 // max(1, n))
+
+
 def hashed_share(key: Column, most: int, n: int) -> Column:
-    """True for the rows of about `most` of `n` keys, the same ones each time: 62 bits of the key's hash against a
-    threshold, which stays above 0 up to some 10**18 times more keys than are wanted."""
-    return F.xxhash64(key).bitwiseAND(F.lit(2**62 - 1)) < F.lit(min(2**62, most * 2**62 // max(1, n)))
+    """True for the rows of about `most` of `n` keys, the same ones each time."""
+    return key_hash(key) < F.lit(hash_limit(most, n))
 
 
 def let(value: Column, body) -> Column:  # noqa: ANN001

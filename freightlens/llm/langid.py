@@ -15,14 +15,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_share
+from .common import hash_limit, key_hash
 
 BUCKETS = 1 << 16
 #: n-grams of one to four characters, by position of their last character.
 ORDERS = (1, 2, 3, 4)
-#: The most labelled documents that the counts are fitted on.
+#: The labelled documents that the counts are fitted on, about; twice as many at most, since rare languages get more than their share.
 MAX_TRAIN = 20_000
-#: The most languages: the matrix then has 64 MB.
+#: The most languages that are learnt, those with the most labelled documents: the matrix then has 64 MB.
 MAX_LANGS = 256
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -90,14 +90,20 @@ def counts(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train: int = MAX_TRAIN, max_langs: int = MAX_LANGS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities (BUCKETS x languages) from at most about `max_train`
-    labelled rows, picked by a hash of `key` so that reruns agree. All languages get equal priors.
-    Rows without text, language or letters teach nothing; no such row at all gives no language. More than
-    `max_langs` languages are an error, since the matrix goes to every task."""
+    """Languages and their log probabilities (BUCKETS x languages). All languages get equal priors.
+
+    They are learnt from about `max_train` labelled rows, picked by a hash of `key` so that reruns agree. Each language has its
+    share of them, and max_train / max_langs rows if that is more, so that a rare one is learnt from what there is.
+    Rows without text, language or letters teach nothing; no such row at all gives no language. Of more than `max_langs`
+    languages those with the most labelled rows are learnt (ties: the first by name), since the matrix goes to every task."""
+    spark = docs.sparkSession
     labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    if labelled.select("l").distinct().limit(max_langs + 1).count() > max_langs:
-        raise ValueError(f"more than {max_langs} languages: raise max_langs if their matrix fits into each task")
-    sample = labelled.filter(hashed_share(F.col("k"), max_train, labelled.select("k").count()))
+    known = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
+    whole = sum(r.n for r in known)
+    shares = [(r.l, hash_limit(max(max_train * r.n // whole, max_train // max_langs, 1), r.n)) for r in known]
+    # max_langs rows at most.
+    limits = F.broadcast(spark.createDataFrame(shares, "l string, most bigint"))
+    sample = labelled.join(limits, "l").filter(key_hash(F.col("k")) < F.col("most"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
@@ -109,14 +115,20 @@ def fit(docs: DataFrame, *, text="text", lang="lang", key="doc_id", max_train: i
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"l": [name] * len(at), "b": at.astype(np.int32), "n": c[at]})
 
-    # Sums by language and bucket: languages x BUCKETS rows at most reach the driver.
-    rows = sample.select("t", "l").mapInArrow(sums, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(rows.column("l").to_pylist()))
-    table = np.full((BUCKETS, len(names)), smoothing)
-    if names:
-        at = {x: i for i, x in enumerate(names)}
-        np.add.at(table, (rows.column("b").to_numpy(), [at[x] for x in rows.column("l").to_pylist()]), rows.column("n").to_numpy())
-    return names, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32) if names else table.astype(np.float32)
+    def column(sums_: pa.Table) -> pa.Table:
+        """One language's log probabilities from its sums by bucket, BUCKETS rows at most."""
+        n = np.full(BUCKETS, smoothing)
+        n[sums_.column("b").to_numpy()] += sums_.column("n").to_numpy()
+        return pa.table({"l": sums_.column("l").slice(0, 1), "logp": pa.array([np.log(n / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    by_bucket = sample.select("t", "l").mapInArrow(sums, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    # A row of 256 kB for each language: together the matrix that is sent out.
+    learnt = by_bucket.groupBy("l").applyInArrow(column, "l string, logp binary").toArrow()
+    columns = dict(zip(learnt.column("l").to_pylist(), learnt.column("logp").to_pylist()))
+    names = sorted(columns)
+    if not names:
+        return names, np.empty((BUCKETS, 0), np.float32)
+    return names, np.ascontiguousarray(np.stack([np.frombuffer(columns[x], np.float32) for x in names], axis=1))
 
 
 def score_texts(texts: list[str | None], names: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:

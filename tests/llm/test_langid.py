@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from freightlens.llm import langid
@@ -78,11 +77,20 @@ def test_samples_never_vanish(spark):
     assert keys.limit(1000).filter(hashed_share(F.col("id"), 0, 10)).count() == 0
 
 
-def test_too_many_languages_are_refused(spark):
-    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
-    assert len(langid.fit(docs, max_langs=5)[0]) == 5
-    with pytest.raises(ValueError, match="languages"):
-        langid.fit(docs, max_langs=4)
+def test_of_many_languages_the_commonest_are_learnt(spark):
+    docs = spark.createDataFrame([(i, "text", f"l{i:03d}") for i in range(300)] + [(300 + i, "text", f"l{i:03d}") for i in range(290, 300)], "doc_id long, text string, lang string")
+    assert langid.fit(docs)[0] == [f"l{i:03d}" for i in [*range(246), *range(290, 300)]]
+    assert langid.fit(docs, max_langs=12)[0] == ["l000", "l001", *[f"l{i:03d}" for i in range(290, 300)]]
+    assert langid.predict(docs, langid.fit(docs)).filter("lang_pred is null").isEmpty()
+
+
+def test_rare_languages_are_learnt(spark):
+    """One document in 20,001 is far from its share of a sample of 256."""
+    rows = spark.range(20_000).selectExpr("id as doc_id", "'the cat and the dog' as text", "'en' as lang")
+    rare = spark.createDataFrame([(30_000, "собака и кошка гуляли по двору", "ru")], "doc_id long, text string, lang string")
+    model = langid.fit(rows.unionByName(rare), max_train=256)
+    assert model[0] == ["en", "ru"]
+    assert langid.predict(rare, model).first().lang_pred == "ru"
 
 
 def test_odd_rows(spark):
