@@ -47,6 +47,8 @@ MOST = 64
 #: Trigrams told apart by the bits of one number, and rules by those of another.
 WORD_BITS = 62
 SPAN = "struct<start:int,kind:int,end:int>"
+#: Words of WORD_BITS bits of the map of candidates: some 40 MB where it is full, whatever the data.
+MAP_WORDS = 1 << 20
 #: Code points of the segments that a text is cut into for masking.
 SEGMENT = 1024
 
@@ -121,6 +123,19 @@ def candidates(docs: DataFrame, rules: Sequence[Rule] = RULES, *, doc_id="doc_id
     return held.select("key", bits.alias("rules")).filter("rules > 0")
 
 
+def _map_place(key: Column) -> tuple[Column, Column]:
+    """Word and bit of a key in the map of candidates."""
+    return F.pmod(key, F.lit(MAP_WORDS)).alias("_word"), F.expr("shiftleft(1L, cast(pmod(shiftright(key, 24), {0}) as int))".format(WORD_BITS)).alias("_bit")
+
+
+def may_be_candidates(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """rows with _may: false only where `key` is not in `held`. The keys set bits of a map of at most MAP_WORDS words, which is
+    broadcast, so that texts that are not candidates are told apart where they lie. A full map tells none apart."""
+    words = held.select(*_map_place(F.col("key"))).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    placed = rows.select("*", *_map_place(F.col("key"))).join(F.broadcast(words), "_word", "left")
+    return placed.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def _found(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, order, end) of a rule's matches, in code points: the regex cuts the text into
     pieces and matches in turn, so lengths add up to places."""
@@ -149,13 +164,23 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, *, doc_id="doc_id", tex
     """
     held = materialize(candidates(docs, rules, doc_id=doc_id, text=text))
     kept = [c for c in docs.columns if c != "_spans"]
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"), _key(doc_id, text).alias("key")).join(held, "key", "left")
-    empty = F.array().cast(f"array<{SPAN}>")
-    found = []
-    for i, r in enumerate(rules):
-        may = F.col("text").rlike(r.pattern) if trigram_query(r.pattern) is None else F.col("rules").bitwiseAND(F.lit(1 << i).cast("bigint")) > 0
-        found.append(F.when(may, _found(F.col("text"), r, i)).otherwise(empty))
-    return rows.select(*[F.col("row")[c].alias(c) for c in kept], F.array_sort(F.concat(*found)).alias("_spans"))
+    rows = may_be_candidates(docs.select(F.struct(*kept).alias("row"), _key(doc_id, text).alias("key")), held)
+    value, empty = F.col("row")[text], F.array().cast(f"array<{SPAN}>")
+
+    def spans(held_rules: Column | None) -> Column:
+        """The spans of the rules that a text is to be searched for: those without a trigram query and those held."""
+        found = []
+        for i, r in enumerate(rules):
+            if trigram_query(r.pattern) is None:
+                found.append(F.when(value.rlike(r.pattern), _found(value, r, i)).otherwise(empty))
+            elif held_rules is not None:
+                found.append(F.when(held_rules.bitwiseAND(F.lit(1 << i).cast("bigint")) > 0, _found(value, r, i)).otherwise(empty))
+        return F.array_sort(F.concat(*found)) if found else empty
+
+    # Only texts that may be candidates are shuffled, to meet the rules that they are candidates of.
+    some = rows.filter("_may").join(held, "key", "left").select("row", spans(F.col("rules")).alias("_spans"))
+    rest = rows.filter("not _may").select("row", spans(None).alias("_spans"))
+    return some.unionByName(rest).select(*[F.col("row")[c].alias(c) for c in kept], "_spans")
 
 
 def listed(spans: Column, rules: Sequence[Rule] = RULES) -> Column:

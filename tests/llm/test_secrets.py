@@ -73,3 +73,29 @@ def test_more_trigrams_than_one_number_holds(spark):
     got = {r.doc_id: [(s.kind, s.end - s.start) for s in r._spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect()}
     assert got == {99: [], **{i: [(i, 6 + len(f"{i}7"))] for i in range(24)}}
     assert secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), [secrets.RULES[2]]).filter("size(_spans) > 0").count() == 0
+
+
+def test_texts_that_are_no_candidates_stay_where_they_are(spark):
+    """Also where the candidates are too many to be broadcast: the texts that are shuffled are the candidates' alone."""
+    rows = [(i, "plain words " * 20 + (f"token=secret{i:04d}" if i % 40 == 0 else "0123456789abcdef01234567" if i % 40 == 1 else "")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = secrets.candidates(docs)
+    told = secrets.may_be_candidates(docs.select("doc_id", secrets._key("doc_id", "text").alias("key")), held)
+    assert {r.doc_id for r in told.filter("_may").collect()} == set(range(0, 2000, 40))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = secrets.scan(docs)
+        got = {r.doc_id: [(s.start, s.kind, s.end) for s in r._spans] for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {d: spans(t) for d, t in rows}
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_full_map_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "MAP_WORDS", 1)
+    rows = list(enumerate(texts()))
+    got = sorted((r.doc_id, [(s.start, s.kind, s.end) for s in r._spans]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((d, spans(t)) for d, t in rows)
