@@ -6,12 +6,16 @@ cell of its nearest centre. It is sent as a probe to that cell and to those whos
 the difference of two near vectors has about 1/sqrt(d) of its length across any one border, and a pair is missed only
 if it crosses the border by more than twice the reach, so the usual reach is SPREAD / sqrt(d).
 
+Vectors of different lengths never link, so each length has its own centres; one with a block of vectors at most, which
+is compared within that block, has a cell without any, unless it is the commonest.
+
 Cells grow in number with the vectors, so that a cell's size does not: beyond MAX_CENTRES cells a second set of
 centres, fitted with another seed, divides each cell of the first. A cell that is large all the same is split in blocks.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -25,15 +29,17 @@ from pyspark.sql import functions as F
 from .common import discard, hashed_share, materialize
 from .components import components
 
-#: The most vectors that the centres are fitted on; every vector is indexed.
+#: The most vectors of a length that its centres are fitted on; every vector is indexed.
 MAX_FIT = 50_000
-#: Vectors of a cell, about, and the most centres of each of the two sets: room for a thousand million vectors.
+#: Vectors of a cell, about, and the most centres of each of the two sets: room for a thousand million vectors of a length.
 PER_CELL, MAX_CENTRES = 1000, 1024
+#: The most cells whose sizes are sent to all tasks, a row of three numbers each; those of more are joined by a shuffle.
+MAX_SENT = MAX_CENTRES**2
 #: Stored vectors and probes that meet in one task.
 BLOCK, PROBES = 2048, 16384
 SPREAD = 0.8
-#: Cells of vectors that have another length than most.
-OTHERS = 64
+#: Parts that the vectors of one component are dealt over where they meet their component's least id.
+SALTS = 16
 
 
 def usable(v: Column) -> Column:
@@ -77,27 +83,47 @@ def _near(x: np.ndarray, c: np.ndarray, limit: float) -> tuple[np.ndarray, np.nd
     return best, to
 
 
-def _cells(vectors: DataFrame, centres: list[np.ndarray], dim: int, threshold: float, reach: float) -> DataFrame:
-    """h, v, copies, own (cell) and near (cells to probe, own among them)."""
+def _cells(vectors: DataFrame, centres: list[np.ndarray], start: int, threshold: float, reach: float) -> DataFrame:
+    """h, v, copies, own (cell) and near (cells to probe, own among them) of vectors of one length, whose cells are
+    numbered from `start`."""
     given = vectors.sparkSession.sparkContext.broadcast(centres)
     limit = reach * math.sqrt(2 - 2 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lens = np.diff(b.column("v").offsets.to_numpy())
-            own = -1 - lens.astype(np.int64) % OTHERS
-            near = [[int(x)] for x in own]
-            here = np.flatnonzero(lens == dim)
-            if len(here):
-                x, width = _matrix(b.column("v").take(pa.array(here))), len(given.value[1])
-                (first, some), (second, more) = (_near(x, c, limit) for c in given.value)
-                own[here] = first * width + second
-                for i, f, s in zip(here, some, more):
-                    near[i] = (np.flatnonzero(f)[:, None] * width + np.flatnonzero(s)).ravel().tolist()
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("v"), b.column("copies"), pa.array(own.astype(np.int32)), pa.array(near, pa.list_(pa.int32()))], names=["h", "v", "copies", "own", "near"])
+            if not b.num_rows:
+                continue
+            x, width = _matrix(b.column("v")), len(given.value[1])
+            (first, some), (second, more) = (_near(x, c, limit) for c in given.value)
+            own = start + first * width + second
+            near = [(start + np.flatnonzero(f)[:, None] * width + np.flatnonzero(s)).ravel().tolist() for f, s in zip(some, more)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("v"), b.column("copies"), pa.array(own.astype(np.int64)), pa.array(near, pa.list_(pa.int64()))], names=["h", "v", "copies", "own", "near"])
 
     kind = vectors.schema["v"].dataType.simpleString()
-    return vectors.select("h", "v", "copies").mapInArrow(run, f"h long, v {kind}, copies long, own int, near array<int>")
+    return vectors.select("h", "v", "copies").mapInArrow(run, f"h long, v {kind}, copies long, own long, near array<long>")
+
+
+def _indexed(distinct: DataFrame, threshold: float, reach: float | None, seed: int) -> tuple[DataFrame, int]:
+    """The cells of all vectors, and the most cells there are. A length of more than a block of vectors, and the
+    commonest one, has its own centres; each other length is one cell."""
+    lengths = distinct.groupBy(F.size("v").alias("d")).count()
+    top = lengths.orderBy(F.desc("count"), "d").first()
+    alone = F.array(-F.size("v").cast("bigint"))
+    if not top:
+        return distinct.select("h", "v", "copies", alone[0].alias("own"), alone.alias("near")), 0
+    # At most one in BLOCK vectors has a length of its own here.
+    large = lengths.filter(F.col("count") > BLOCK).orderBy("d").collect() if top["count"] > BLOCK else [top]
+    parts, start = [], 0
+    for r in large:
+        some = distinct.filter(F.size("v") == r["d"])
+        centres = _centres(some, r["count"], seed)
+        parts.append(_cells(some, centres, start, threshold, min(1.0, SPREAD / math.sqrt(r["d"])) if reach is None else reach))
+        start += len(centres[0]) * len(centres[1])
+    others = lengths.count() - len(large)
+    if others:
+        rest = distinct.filter(~F.size("v").isin([r["d"] for r in large]))
+        parts.append(rest.select("h", "v", "copies", alone[0].alias("own"), alone.alias("near")))
+    return functools.reduce(DataFrame.unionByName, parts), start + others
 
 
 def _compared(tasks: DataFrame, threshold: float) -> DataFrame:
@@ -174,29 +200,33 @@ def dedup(vectors: DataFrame, *, vec_id="vec_id", vector="embedding", threshold:
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
     keyed = rows.select("vec_id", "v", F.when(usable(F.col("v")), F.xxhash64("v")).alias("h"))
     distinct = materialize(keyed.filter("h is not null").groupBy("h").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")))
-    dims = distinct.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim, n = (dims["d"], dims["count"]) if dims else (0, 0)
-    centres = _centres(distinct.filter(F.size("v") == dim), n, seed) if dims else [np.zeros((1, 1))] * 2
-    cells = materialize(_cells(distinct, centres, dim, threshold, min(1.0, SPREAD / math.sqrt(max(1, dim))) if reach is None else reach))
+    cells, n_cells = _indexed(distinct, threshold, reach, seed)
+    cells = materialize(cells)
     sizes = cells.groupBy(F.col("own").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_nb"))
     coming = cells.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("_np"))
-    # One row a cell: MAX_CENTRES**2 + OTHERS at most, of three numbers.
-    shape = F.broadcast(materialize(sizes.join(coming, "cell")))
+    shape = materialize(sizes.join(coming, "cell"))
+    if n_cells <= MAX_SENT:
+        shape = F.broadcast(shape)
     block, probe = F.pmod("h", F.col("_nb")).cast("int"), F.pmod("h", F.col("_np")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ["h", "v", "own", "copies"]
     stored = cells.withColumn("cell", F.col("own")).join(shape, "cell").select(*kept, "near", "cell", block.alias("_b"), each("_np").alias("_p"), F.lit(False).alias("probe"))
-    probes = cells.withColumn("cell", F.explode("near")).join(shape, "cell").select(*kept, F.lit(None).cast("array<int>").alias("near"), "cell", probe.alias("_p"), each("_nb").alias("_b"), F.lit(True).alias("probe"))
-    # Vectors of one length meet in a task, also where a cell holds several lengths.
-    tasks = stored.unionByName(probes).withColumn("task", F.xxhash64("cell", "_b", "_p", F.size("v"))).drop("cell", "_b", "_p")
+    probes = cells.withColumn("cell", F.explode("near")).join(shape, "cell").select(*kept, F.lit(None).cast("array<bigint>").alias("near"), "cell", probe.alias("_p"), each("_nb").alias("_b"), F.lit(True).alias("probe"))
+    tasks = stored.unionByName(probes).withColumn("task", F.xxhash64("cell", "_b", "_p")).drop("cell", "_b", "_p")
     tasks = tasks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "probe")
     found = materialize(_compared(tasks, threshold))
     counts = found.filter("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("_n"))
     roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "h")
     named = distinct.select("h", "vec_id", "copies").join(roots, "h", "left").join(counts, "h", "left")
-    named = materialize(named.select("h", "vec_id", "copies", F.coalesce("root", "h").alias("root"), F.coalesce("_n", F.lit(0)).alias("_n")))
-    least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    of = named.join(least, "root").select("h", (F.col("_n") + F.col("copies") - 1).alias("n_links"), "component_id")
+    n_links = (F.coalesce("_n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    # Only vectors with links meet by root, and those of a large component over SALTS keys.
+    salt = F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int").alias("_salt")
+    named = materialize(named.select("h", "vec_id", "root", n_links, salt))
+    linked = named.filter("root is not null")
+    least = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    least = least.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    of = linked.join(least, ["root", "_salt"]).select("h", "n_links", "component_id")
+    of = of.unionByName(named.filter("root is null").select("h", "n_links", F.col("vec_id").alias("component_id")))
     out = keyed.select("vec_id", "h").join(of, "h", "left")
     component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

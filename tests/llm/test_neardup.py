@@ -47,6 +47,36 @@ def test_equals_all_pairs(spark, monkeypatch, per_cell, block, reach):
     assert got == sorted(want, key=str)
 
 
+def test_lengths_that_are_common_have_cells_of_their_own(spark, monkeypatch):
+    """Three lengths of more than a block each and many rare ones: all links, and no cell that holds most of a length."""
+    monkeypatch.setattr(neardup, "PER_CELL", 40)
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    rows = []
+    for k, dim in enumerate((16, 17, 24)):
+        rows += [(10_000 * k + i, v) for i, v in vectors(300 - 40 * k, dim, seed=k) if i is not None and i < 9000]
+    rows += [(50_000 + d, [float(x + 1) for x in range(d)]) for d in range(1, 60)] + [(60_000 + d, [float(x + 1) for x in range(d)]) for d in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(tuple(r) for r in neardup.dedup(df, reach=1.0).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == sorted(brute(rows))
+    keyed = df.select(F.xxhash64("embedding").alias("h"), F.col("embedding").alias("v"), F.lit(1).cast("bigint").alias("copies")).dropDuplicates(["h"])
+    cells, most = neardup._indexed(keyed, 0.9, 1.0, 11)
+    held = cells.groupBy(F.size("v").alias("d"), "own").count().collect()
+    assert len({r.own for r in held}) == len(held) <= most
+    for dim in (16, 17, 24):
+        sizes = [r["count"] for r in held if r.d == dim]
+        assert len(sizes) >= 3 and max(sizes) < 0.8 * sum(sizes)
+    assert keyed.count() == cells.count()
+
+
+@pytest.mark.parametrize("sent", [0, 1024**2])
+def test_sizes_of_many_cells_are_joined_by_a_shuffle(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "MAX_SENT", sent)
+    monkeypatch.setattr(neardup, "PER_CELL", 40)
+    rows = [r for r in vectors(200) if r[0] is not None]
+    got = sorted((tuple(r) for r in neardup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), reach=1.0).collect()), key=str)
+    assert got == brute(rows)
+
+
 def planted(n, dim, seed, groups=400):
     """n vectors around 12 themes; `groups` of them have near copies at cosines from 0.88 up."""
     rng = np.random.default_rng(seed)
@@ -86,8 +116,8 @@ def test_cells_on_small_tables(spark):
     rows = load(spark, "/root/testdata/sf0.01", "embeddings").select(F.xxhash64("embedding").alias("h"), F.col("embedding").alias("v"), F.lit(1).cast("bigint").alias("copies"))
     for df in (rows, rows.limit(2)):
         n = df.count()
-        cells = neardup._cells(df, neardup._centres(df, n, 11), 64, 0.9, 0.2)
-        assert cells.select("own").distinct().count() >= 2 and cells.count() == n
+        cells, most = neardup._indexed(df, 0.9, 0.2, 11)
+        assert most >= cells.select("own").distinct().count() >= 2 and cells.count() == n
 
 
 def test_nothing(spark):
