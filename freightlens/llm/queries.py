@@ -12,11 +12,14 @@ from .common import load, materialize
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: A BPE tokenizer with word ends; any other of its kind can be given.
 WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+#: Bytes of a batch of rows that goes to Python, but for a longer single row.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts can be long, so few go to Python at once."""
+    """Whole texts can be long, so few go to Python at once: at most 200, and no more once BATCH_BYTES are reached."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
