@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import remove
+from ..sources.tables import bytes_of, remove
 from ..sources.tables import shared_folder as scratch
 
 #: A word is a longest run of bytes other than space and \t..\r.
@@ -39,6 +39,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a side's files, for each part that its keys spread over, up to which a join holds that side in memory.
+HELD = 64 << 20
+
+
+def in_memory(df: DataFrame, parts: int = 1) -> DataFrame:
+    """A written side of a join, to be held in memory by its tasks where its files are small enough for that; a larger one
+    is sorted like any other, and spills. parts: shuffle partitions over which its keys spread evenly, 1 if one key may have most rows."""
+    return df.hint("shuffle_hash") if bytes_of(df) <= HELD * parts else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `materialize` wrote and that no later step reads."""
     for df in tables:

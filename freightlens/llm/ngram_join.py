@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trie
-from .common import discard, materialize
+from .common import discard, in_memory, materialize
 from .components import components
 from .shingles import HEAT_BITS, mix, ordered, shingles
 
@@ -125,7 +125,7 @@ def _with_texts(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     found, _ = with_keys(docs.select("rk", "text"), need, "rk")
     once = found.groupBy("rk").agg(F.first("text").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return once.join(need.hint("shuffle_hash"), "rk").drop("rk").repartition(parts, "cell")
+    return once.join(in_memory(need), "rk").drop("rk").repartition(parts, "cell")
 
 
 def _hopeful(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
@@ -342,9 +342,10 @@ def _index(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
     part = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
     filed = nodes.select("node", part.alias("_part"), F.posexplode("first").alias("place", "token"))
     hub = F.min(F.when(F.col("place") < F.col("_part"), F.col("node"))).alias("hub")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hubs = filed.groupBy("token").agg(hub, F.min("node").alias("_least"), F.max("node").alias("_most"))
     hubs = materialize(hubs.filter("_least < _most").select("token", "hub"))
-    shared = materialize(filed.drop("_part").join(hubs.hint("shuffle_hash"), "token").select("token", "node", "place", "hub"))
+    shared = materialize(filed.drop("_part").join(in_memory(hubs, parts), "token").select("token", "node", "place", "hub"))
     group = materialize(shared.filter("hub is not null").select("hub", "node").distinct())
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("token", "place"))).alias("_l"))
     lists = lists.select("node", F.col("_l.token").alias("tokens"), F.col("_l.place").alias("places"))

@@ -4,7 +4,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from freightlens.llm.common import CLEANUP, discard, materialize, scratch
+from freightlens.llm import common
+from freightlens.llm.common import CLEANUP, discard, in_memory, materialize, scratch
 
 
 def test_tables_come_and_go(spark):
@@ -25,3 +26,15 @@ def test_only_own_tables_go(spark, tmp_path):
     spark.range(3).write.parquet(str(path))
     discard(spark.read.parquet(str(path)))
     assert spark.read.parquet(str(path)).count() == 3
+
+
+def test_only_small_sides_are_held_in_memory(spark, monkeypatch):
+    rows = spark.range(2000).withColumn("k", F.col("id") % 100)
+    side = materialize(spark.range(50).withColumnRenamed("id", "k"))
+    want = sorted(rows.join(side, "k").collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for limit, hinted in ((64 << 20, True), (0, False)):
+        monkeypatch.setattr(common, "HELD", limit)
+        joined = rows.join(in_memory(side, 8), "k")
+        assert ("shuffle_hash" in plan(joined)) == hinted and sorted(joined.collect()) == want
+    discard(side)

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from freightlens.llm import ngram_join, trie
+from freightlens.llm import common, ngram_join, trie
 from freightlens.llm.shingles import shingles
 
 
@@ -82,9 +82,10 @@ def test_all_links_equal_all_pairs(spark, monkeypatch):
     assert [df.collect() for df in ngram_join.links(empty)] == [[], []]
 
 
-@pytest.mark.parametrize("width,percent,block", [(4, 85, 1024), (5, 80, 16)])
-def test_join_equals_all_pairs(spark, monkeypatch, width, percent, block):
+@pytest.mark.parametrize("width,percent,block,held", [(4, 85, 1024, 64 << 20), (5, 80, 16, 0)])
+def test_join_equals_all_pairs(spark, monkeypatch, width, percent, block, held):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(common, "HELD", held)
     rows = corpus(width)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as node", "1 as rk", "2 as hub").repartition(5)
     got = ngram_join.join(df, width=width, percent=percent)
