@@ -2,7 +2,7 @@
 
 import pytest
 
-from freightlens.operators.constraints import Key, Reference, check, graph_constraints, run_constraints
+from freightlens.operators.constraints import Key, Reference, _entries, check, graph_constraints, run_constraints
 from freightlens.plans import catalogue
 from freightlens.streaming import quarters
 
@@ -57,3 +57,11 @@ def test_record_of_a_build(spark, tmp_path):
 def test_the_graph_has_no_faults(spark):
     rows = catalogue.QUERIES["constraint_checks"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len(graph_constraints()) and all(r.bad == 0 < r.rows for r in rows)
+
+
+def test_a_key_of_all_columns_sends_no_values(spark):
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "z")], "n int, a string")
+    plain, primary, reference = Key("k", "t", ("n", "a")), Key("p", "t", ("n", "a"), True), Reference("r", "t", ("a",), "u", ("a",))
+    assert _entries("t", rows, [plain]).filter("v is not null").count() == 0
+    parents = spark.createDataFrame([("x",)], "a string")
+    assert faults({"t": rows, "u": parents}, [plain, primary, reference]) == {"k": ("unique", 4, 1), "p": ("primary", 4, 2), "r": ("reference", 4, 2)}

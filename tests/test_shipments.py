@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freightlens.functions import exprs
 from freightlens.operators import features, graph, topn, upsert
-from freightlens.sources.shipments import Shipments
+from freightlens.sources.shipments import Shipments, from_orders, gathered
 
 MANIFESTS = "mtn string, shipped timestamp_ntz, generator string, generator_name string, generator_state string, facility string, facility_name string, facility_state string, rejection string"
 LINES = "mtn string, line_no int, tons double, kg double, hazardous string, usdot_description string, nonhaz_description string, management_code string, management_description string, form_code string, form_description string, source_code string, source_description string, container_code string, container_description string"
@@ -116,3 +116,13 @@ def test_quarters():
     assert exprs.quarter_bounds(2018, 4) == (date(2018, 10, 1), date(2019, 1, 1)) and exprs.quarter_bounds(2018, 1) == (date(2018, 1, 1), date(2018, 4, 1))
     with pytest.raises(ValueError):
         exprs.quarter_bounds(2018, 5)
+
+
+def test_gathered_shipments_are_the_same_and_join_in_place(spark):
+    plain, kept = from_orders(spark, "/root/testdata/sf0.001"), gathered(spark, "/root/testdata/sf0.001")
+    for name in ("manifests", "lines", "carriers", "imports", "federal_codes", "state_codes"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), name
+    joined = kept.manifests.join(kept.lines, "mtn").join(kept.carriers, "mtn").hint("merge").groupBy("mtn").count()
+    joined.collect()
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
