@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from freightlens.functions import exprs
 from freightlens.operators import features, graph, topn, upsert
-from freightlens.sources.shipments import Shipments, from_orders, gathered
+from freightlens.sources import shipments as sources
+from freightlens.sources.shipments import Shipments, from_orders, gathered, gathered_lines
 
 MANIFESTS = "mtn string, shipped timestamp_ntz, generator string, generator_name string, generator_state string, facility string, facility_name string, facility_state string, rejection string"
 LINES = "mtn string, line_no int, tons double, kg double, hazardous string, usdot_description string, nonhaz_description string, management_code string, management_description string, form_code string, form_description string, source_code string, source_description string, container_code string, container_description string"
@@ -126,3 +127,22 @@ def test_gathered_shipments_are_the_same_and_join_in_place(spark):
     joined = kept.manifests.join(kept.lines, "mtn").join(kept.carriers, "mtn").hint("merge").groupBy("mtn").count()
     joined.collect()
     assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sent", [0, sources.SENT])
+def test_simple_view_writes_no_lines(spark, monkeypatch, sent):
+    d, made, write = "/root/testdata/sf0.001", [], features.written
+    monkeypatch.setattr(sources, "SENT", sent)
+    plain, kept = from_orders(spark, d), gathered_lines(spark, d)
+    for name in ("manifests", "lines", "federal_codes"):
+        a, b = getattr(plain, name), getattr(kept, name)
+        assert set(b.columns) <= set(a.columns) and sorted(map(repr, a.select(b.columns).collect())) == sorted(map(repr, b.collect())), name
+
+    def view(s):
+        rows = features.simple_view(s, codes=2, facilities=9, generators=90).collect()
+        return sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+
+    want = view(plain)
+    monkeypatch.setattr(features, "written", lambda df: made.append(df.columns) or write(df))
+    assert view(kept) == want != []
+    assert made and not any("line_no" in columns for columns in made)
