@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from freightlens.functions import exprs
 from freightlens.operators import features, graph, topn, upsert
 from freightlens.sources import shipments as sources
-from freightlens.sources.shipments import Shipments, from_orders, gathered, gathered_lines
+from freightlens.sources.shipments import Shipments, dealt, from_orders, gathered, gathered_lines
 
 MANIFESTS = "mtn string, shipped timestamp_ntz, generator string, generator_name string, generator_state string, facility string, facility_name string, facility_state string, rejection string"
 LINES = "mtn string, line_no int, tons double, kg double, hazardous string, usdot_description string, nonhaz_description string, management_code string, management_description string, form_code string, form_description string, source_code string, source_description string, container_code string, container_description string"
@@ -146,3 +146,16 @@ def test_simple_view_writes_no_lines(spark, monkeypatch, sent):
     monkeypatch.setattr(features, "written", lambda df: made.append(df.columns) or write(df))
     assert view(kept) == want != []
     assert made and not any("line_no" in columns for columns in made)
+
+
+def test_dealt_edges_are_the_same_in_parts_by_size(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(sources, "PART", 10_000)
+    s = dealt(spark, d)
+    assert s.parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for kind in ("GT", "TF"):
+        rows = graph.year_edges(s, kind)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(year") == 1 and plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM")
+        want = graph.year_edges(from_orders(spark, d), kind)
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, want.select(rows.columns).collect()))
