@@ -159,3 +159,29 @@ def test_dealt_edges_are_the_same_in_parts_by_size(spark, monkeypatch):
         assert plan.count("Exchange hashpartitioning(year") == 1 and plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM")
         want = graph.year_edges(from_orders(spark, d), kind)
         assert sorted(map(repr, rows.collect())) == sorted(map(repr, want.select(rows.columns).collect()))
+
+
+def test_simple_view_keeps_codes_as_bits_and_writes_its_list_alone(spark, monkeypatch, tmp_path):
+    """Line numbers, parts, customers and orders that repeat, unknown parts, missing tons, and more codes than a word has bits."""
+    d, src = str(tmp_path), "/root/testdata/sf0.001"
+    t = {n: spark.read.parquet(f"{src}/{n}.parquet") for n in ("nation", "customer", "supplier", "part", "orders", "lineitem")}
+    again = lambda df, where, **new: df.unionByName(df.filter(where).withColumns({k: F.expr(v) for k, v in new.items()}))
+    part = t["part"].filter("p_partkey % 13 > 0").withColumn("p_type", F.concat("p_type", F.col("p_partkey") % 70))
+    t["part"] = again(part, "p_partkey % 7 = 0", p_type="if(p_partkey % 2 = 0, null, concat(p_type, 'x'))", p_brand="'Brand#99'")
+    t["lineitem"] = again(again(t["lineitem"], "l_orderkey % 3 = 0", l_partkey="l_partkey + 1"), "l_orderkey % 5 = 0").withColumn("l_quantity", F.expr("if(l_suppkey % 4 = 0, null, l_quantity)"))
+    t |= {"customer": again(t["customer"], "c_custkey % 9 = 0"), "orders": again(t["orders"], "o_orderkey % 17 = 0")}
+    for name, df in t.items():
+        df.write.parquet(f"{d}/{name}.parquet")
+    plain, kept = from_orders(spark, d), gathered_lines(spark, d)
+    rows = lambda df: sorted(map(repr, df.groupBy("facility", "waste_code", "generator").agg(F.sum("_tons")).collect()))
+    want = rows(features.base_lines(plain).groupingSets([["facility", "waste_code"], ["generator"]], "facility", "waste_code", "generator").agg(F.sum("tons").alias("_tons")))
+    assert t["part"].select("p_type").distinct().count() > 64 and rows(features._sums(kept)) == want != []
+    written = []
+    write = sources.written
+    monkeypatch.setattr(sources, "written", lambda df: written.append(write(df)) or written[-1])
+    view = lambda s: sorted(map(repr, features.simple_view(s, codes=20, facilities=9, generators=5).drop("avg_line_qty_tons", "std_line_qty_tons").collect()))
+    assert view(kept) == view(plain) != []
+    orders = next(df for df in written if "o_orderkey" in df.columns)
+    assert orders.select("o_custkey").distinct().count() == 5
+    monkeypatch.setattr(sources, "MOST_CODES", 3)
+    assert kept.amounts() is None and rows(features._sums(kept)) == want
