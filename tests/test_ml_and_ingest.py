@@ -184,3 +184,14 @@ def test_logistic_model_equals_a_plain_fit(spark):
         scores.append(ones @ w)
     got = np.array([r.prediction for r in ml.fit(df, "logistic").transform(df).orderBy("uid").collect()])
     assert (got == np.argmax(scores, axis=0)).mean() > 0.98
+
+
+def test_categories_of_all_lines_are_found_by_one_pass(spark, monkeypatch):
+    from freightlens.plans import catalogue
+    from freightlens.sources.shipments import from_orders, gathered_lines
+
+    d, read, levels = "/root/testdata/sf0.001", [], ml.levels
+    want = catalogue._domains(from_orders(spark, d))
+    monkeypatch.setattr(ml, "levels", lambda df, *a: read.extend(df.inputFiles()) or levels(df, *a))
+    assert catalogue._domains(gathered_lines(spark, d)) == want and all(want.values())
+    assert read and not any("lineitem" in f for f in read)
